@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import splits
+from casemill.llm import splits, tokens
 from casemill.sources.tables import table
 
 CASES, FILLED = "karte_example", "clinical_case_mask_filling4"
@@ -25,5 +25,10 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(splits.tie_articles(variants), SHARES).select("source_row_id", "variant_id", "article", "split").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k, an empty list for null and empty texts."""
+    return table(spark, folder, "documents").select("doc_id", tokens.encoder(spark)(F.col("text")).alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p6_ids)}
 ORACLE_SQL: dict[str, str] = {}
