@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import splits, tokens
+from casemill.llm import mojibake, splits, tokens
 from casemill.sources.tables import table
 
 CASES, FILLED = "karte_example", "clinical_case_mask_filling4"
@@ -25,10 +25,20 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(splits.tie_articles(variants), SHARES).select("source_row_id", "variant_id", "article", "split").distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and case texts of which at least a part was decoded wrongly."""
+    return mojibake.find_garbled(table(spark, folder, CASES), "karte_id", ("Title", CASE_TEXT))
+
+
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same values with their original wording as far as it can be restored."""
+    return mojibake.restore_garbled(table(spark, folder, CASES), "karte_id", ("Title", CASE_TEXT))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k, an empty list for null and empty texts."""
     return table(spark, folder, "documents").select("doc_id", tokens.encoder(spark)(F.col("text")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p6_ids)}
 ORACLE_SQL: dict[str, str] = {}
