@@ -61,3 +61,21 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for a table that is written and read again."""
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers can import it wherever they run."""
+    import sys
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    key = f"casemill-{sc.applicationId}.zip"
+    if any(key in p for p in sys.path):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="casemill-ship-")) / key
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
