@@ -147,10 +147,12 @@ def lookup_units(token: str) -> set[str]:
     return {u for u in units if len(u) <= 200 and not u.isascii()}
 
 
-def _strength(form: str, token: str, n_form: int, n_orig: int, chain: str) -> int:
+def _strength(form: str, orig: str, token: str, n_form: int, n_orig: int, chain: str) -> int:
     """2: the form alone is proof; 1: it needs another one in the same value; 0: it proves nothing."""
     bare = token.strip(_EDGE)
     run = max((len(r) for r in _RUN.findall(form)), default=0)
+    if chain.startswith("cp1252>cp932") and any(len(r) > 1 for r in _RUN.findall(orig)):
+        return 0  # Latin letters next to each other outside ASCII are hardly a word that was read as Japanese
     if "�" in form:
         return 2
     if _C1.search(form):
@@ -165,7 +167,7 @@ def _strength(form: str, token: str, n_form: int, n_orig: int, chain: str) -> in
         return 0
     if letters >= 3 and n_orig >= RATIO * n_form:
         return 2
-    if letters >= 1 and n_orig >= RATIO_SHORT * n_form:
+    if n_orig >= RATIO_SHORT * n_form:
         return 2
     return 1 if n_orig >= RATIO * n_form else 0
 
@@ -213,7 +215,7 @@ def _garbled(units: pd.Series) -> pd.Series:
 def _judge(tokens: pd.Series, found: pd.Series) -> pd.DataFrame:
     rows = []
     for token, matches in zip(tokens, found):
-        kept = [(m["form"], m["orig"], m["n_orig"], s, m["chain"]) for m in matches if (s := _strength(m["form"], token, m["n_form"], m["n_orig"], m["chain"]))]
+        kept = [(m["form"], m["orig"], m["n_orig"], s, m["chain"]) for m in matches if (s := _strength(m["form"], m["orig"], token, m["n_form"], m["n_orig"], m["chain"]))]
         top = max(kept, key=lambda k: (k[3], len(k[0])), default=None)
         rows.append((top[3] if top else 0, top[4] if top else None, _restored(token, [k[:3] for k in kept]) if top else token))
     return pd.DataFrame(rows, columns=["strength", "chain", "restored"])
