@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import mojibake, splits, tokens
+from casemill.llm import mojibake, pii, splits, tokens
 from casemill.sources.tables import table
 
 CASES, FILLED = "karte_example", "clinical_case_mask_filling4"
@@ -35,10 +35,24 @@ def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restore_garbled(table(spark, folder, CASES), "karte_id", ("Title", CASE_TEXT))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item of personal information in case texts and filled variants."""
+    cases = pii.find_pii(table(spark, folder, CASES), CASE_TEXT, {"tbl": F.lit(CASES), "row_id": F.col("karte_id"), "variant_id": F.lit(0)})
+    filled = pii.find_pii(table(spark, folder, FILLED), "filled_text", {"tbl": F.lit(FILLED), "row_id": F.col("source_row_id"), "variant_id": F.col("variant_id")})
+    return cases.unionByName(filled)
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same texts with typed placeholders in place of the items."""
+    cases = table(spark, folder, CASES).select(F.lit(CASES).alias("tbl"), F.col("karte_id").alias("row_id"), F.lit(0).alias("variant_id"), F.col(f"`{CASE_TEXT}`").alias("text"))
+    filled = table(spark, folder, FILLED).select(F.lit(FILLED).alias("tbl"), F.col("source_row_id").alias("row_id"), "variant_id", F.col("filled_text").alias("text"))
+    return pii.redact_column(cases.unionByName(filled), "text", "redacted").drop("text")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k, an empty list for null and empty texts."""
     return table(spark, folder, "documents").select("doc_id", tokens.encoder(spark)(F.col("text")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids)}
 ORACLE_SQL: dict[str, str] = {}
