@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import mojibake, pii, splits, tokens
+from casemill.llm import leaks, mojibake, pii, splits, tokens
 from casemill.sources.tables import table
 
 CASES, FILLED = "karte_example", "clinical_case_mask_filling4"
@@ -54,5 +54,15 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", tokens.encoder(spark)(F.col("text")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids)}
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the evaluation items it leaks and the words of the longest passage of each."""
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the evaluation items it leaks."""
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids, p7_found, p7_leaks)}
 ORACLE_SQL: dict[str, str] = {}
