@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import leaks, mojibake, pii, splits, tokens
+from casemill.llm import leaks, mojibake, pii, splits, tokens, toxicity
 from casemill.sources.tables import table
 
 CASES, FILLED = "karte_example", "clinical_case_mask_filling4"
@@ -64,5 +64,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids, p7_found, p7_leaks)}
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score for abusive, hateful or sexual content."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    model = toxicity.train(docs, table(spark, folder, "doc_labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with such content."""
+    return p8_scores(spark, folder).filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of such content per source."""
+    return toxicity.rates(p8_scores(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}
 ORACLE_SQL: dict[str, str] = {}
