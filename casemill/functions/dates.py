@@ -30,7 +30,7 @@ def _read(text: Column, style: str, read: str) -> Column:
     proper = F.initcap(F.lower(text))
     day = F.to_date(F.try_to_timestamp(proper, F.lit(read)))
     # Two-digit years: 69 to 99 lie in the twentieth century.
-    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day) if style == "mdy_slash2" else day
+    return F.when(text.rlike(r"/(?:69|[7-9]\d)$"), F.add_months(day, -1200)).otherwise(day) if style == "mdy_slash2" else day
 
 
 def parsed(value: Column) -> tuple[Column, Column]:
@@ -41,12 +41,15 @@ def parsed(value: Column) -> tuple[Column, Column]:
     return F.coalesce(*days), style
 
 
+def _shifted_or_null(value: Column, days: Column) -> Column:
+    text = _cleaned(value)
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.rlike(pattern), F.date_format(F.date_add(_read(text, style, read), days), write)) for style, pattern, read, write in STYLES])
+
+
 def shifted(value: Column, days: Column) -> Column:
     """The date moved by ``days`` in its own style with padded days; what can't be parsed stays."""
-    day, style = parsed(value)
-    moved = F.date_add(day, days)
-    out = F.coalesce(*[F.when(style == name, F.date_format(moved, write)) for name, _, _, write in STYLES])
-    return F.coalesce(out, value)
+    return F.coalesce(_shifted_or_null(value, days), value)
 
 
 def _stripped(value: Column) -> Column:
@@ -110,12 +113,12 @@ def shifted_duration(value: Column, days: Column) -> Column:
 
 def shifted_any(value: Column, days: Column) -> Column:
     """The value moved by the rule of its kind; unparsed values stay."""
-    which = kind(value)
-    return (
-        F.when(which == "absolute_date", shifted(value, days))
-        .when(which == "month_day", shifted_month_day(value, days))
-        .when(which == "week_range", shifted_weeks(value, days))
-        .when(which == "gestational_age", shifted_gestation(value, days))
-        .when(which == "duration", shifted_duration(value, days))
-        .otherwise(value)
+    text = _stripped(value)
+    fits = lambda pattern: text.rlike("(?i)" + pattern)
+    other = (
+        F.when(fits(L.MONTH_DAY_PATTERN), shifted_month_day(value, days))
+        .when(fits(L.WEEK_RANGE_PATTERN), shifted_weeks(value, days))
+        .when(fits(L.GESTATIONAL_PATTERN), shifted_gestation(value, days))
+        .when(fits(L.DURATION_PATTERN), shifted_duration(value, days))
     )
+    return F.coalesce(_shifted_or_null(value, days), other, value)

@@ -101,7 +101,7 @@ def rule_replacement(m: Column, key: Column, variant: Column, days: Column, conf
     t, value, n = m["mask_type"], F.coalesce(m["original_value"], F.lit("")), F.coalesce(m["mask_index"], F.lit(0))
     by = (key, variant, n)
     date = shifted_any(value, days) if config.version >= 4 else shifted(value, days)
-    date_method = F.concat(F.lit("constraint_"), F.when(kind(value) == "unparsed", "preserve_unparsed").otherwise(F.concat(F.lit("shift_"), kind(value)))) if config.version >= 4 else F.lit("constraint_row_level_date_shift")
+    date_method = F.regexp_replace(F.concat(F.lit("constraint_shift_"), kind(value)), "shift_unparsed$", "preserve_unparsed") if config.version >= 4 else F.lit("constraint_row_level_date_shift")
     replacement = (
         F.when(t == "AGE", replaced_age(value, *by, seed=config.seed))
         .when(t == "DATE", date)

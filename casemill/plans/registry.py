@@ -1,13 +1,322 @@
-"""All core queries and their SQL."""
+"""All core queries and, where SQL can say the same, their DuckDB SQL."""
 
 from __future__ import annotations
 
-from casemill.plans import corpus
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return dict(corpus.QUERIES)
+from casemill.functions import dates, draws, lexicons as L, values
+from casemill.operators import analyze, annotate, candidates, fill, mask, safety, spans
+from casemill.plans import corpus, sqlgen as S
+from casemill.plans.cases import CASES_SQL, DATE_VALUES_SQL, cases, date_values
+from casemill.sources import text_files
+from casemill.sources.tables import spread, table
+from casemill.streaming.masking import mask_files_once
+
+Query = Callable[[SparkSession, str], DataFrame]
+MASKED, FILLED, CASE_TABLE = "clinical_case_mask_trial3", "clinical_case_mask_filling4", "karte_example"
+CASE_TEXT = "Case presentation EN"
+#: Places and names of the synthetic cases, as rules of the annotator.
+RULES = (("GPE", r"\bNATION_\d+\b"), ("PERSON", r"\bCustomer#\d+\b"))
+ANNOTATOR = annotate.RuleAnnotator(RULES)
+CONFIG = mask.MaskingConfig(annotator=ANNOTATOR)
+_NEUTRAL = annotate.words_pattern(L.SAFE_LOW_RISK_WORDS)
+
+
+def _exploded(key: str, found: DataFrame) -> DataFrame:
+    return found.select(key, F.explode("s").alias("s")).select(key, "s.start_char", "s.end_char", "s.original_value", "s.mask_type")
+
+
+def _span_query(build: Callable[[Column], Column]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return _exploded("source_row_id", cases(spark, folder).select("source_row_id", build(F.col("case_text")).alias("s")))
+
+    return run
+
+
+def _span_sql(expression: str) -> str:
+    return f"with c as ({CASES_SQL}), f as (select source_row_id, unnest({expression}) as s from c) select source_row_id, s.start_char, s.end_char, s.original_value, s.mask_type from f"
+
+
+_REGEX = {"ID": L.ID_PATTERN, "AGE": L.AGE_PATTERN, "DATE": L.DATE_PATTERN}
+_ENTITIES_SQL = "list_sort(" + S.spans("case_text", RULES[0][1], "LOCATION", "rule:GPE") + " || " + S.spans("case_text", RULES[1][1], "NAME", "rule:PERSON") + ")"
+_PRIORITY_SQL = " || ".join([*[S.spans("case_text", p, t, "regex") for t, p in _REGEX.items()], _ENTITIES_SQL, S.spans("case_text", S.sex_pattern(), "SEX", "lexicon")])
+_MASK_SQL = f"""with c as ({CASES_SQL}),
+p as (select c.*, {S.resolved(_PRIORITY_SQL)} as taken, {S.spans('case_text', _NEUTRAL, 'LOW_RISK_WORDING', 'lexicon:pos')} as words from c),
+n as (select p.*, list_filter(words, lambda w: len(list_filter(taken, lambda t: w.start_char < t.end_char AND w.end_char > t.start_char)) = 0) as free from p),
+r as (select n.*, list_sort(list_transform(free, lambda s: {{'h': md5('42|' || source_row_id::VARCHAR || '|' || s.start_char::VARCHAR), 's': s}})) as ranked from n),
+m as (select r.*, list_sort(taken || list_transform(ranked[1:greatest(1, round_even(len(free) * 0.15, 0)::INTEGER)], lambda x: x.s)) as chosen from r),
+masked as (select source_row_id, PMCID, PMID, case_no, disease, case_text, chosen, x.o || substring(case_text, x.at + 1) as masked_text from (select m.*, {S.spliced('case_text', 'chosen')} as x from m))"""
+
+
+def masked_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship: cases masked by pattern, entity, lexicon and neutral wording, with counts by type."""
+    m = F.col("metadata")
+    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG)
+    summed = masked.select("source_row_id", "masked_text", F.size(m).alias("masked_token_count"), spans.joined(m, "original_value").alias("masked_tokens"), spans.joined(m, "mask_type").alias("mask_types"))
+    return summed.select("*", *analyze.type_counts(F.col("mask_types")))
+
+
+def mask_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per mask with constraint and safety flags."""
+    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG)
+    return masked.select("source_row_id", F.explode("metadata").alias("m")).select("source_row_id", *[f"m.{f}" for f in ("mask_index", "start_char", "end_char", "original_value", "mask_type", "source", "constraint_rule", "medical_concept", "severity_sensitive", "temporality_sensitive")])
+
+
+def masked_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The masked dataset of the real cases, 18 columns."""
+    return mask.masked_dataset(spread(table(spark, folder, CASE_TABLE), "karte_id"), CASE_TEXT, "karte_id")
+
+
+def masked_dataset_v2(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the older rules, 17 columns."""
+    return mask.masked_dataset(spread(table(spark, folder, CASE_TABLE), "karte_id"), CASE_TEXT, "karte_id", mask.MaskingConfig(version=2))
+
+
+def load_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases that have a text; strings that stand for missing values count as none."""
+    return text_files.with_text(table(spark, folder, CASE_TABLE), CASE_TEXT).select("karte_id", "Title", F.length(f"`{CASE_TEXT}`").alias("n_chars"))
+
+
+def first_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten cases by key."""
+    return text_files.first_rows(text_files.with_text(table(spark, folder, CASE_TABLE), CASE_TEXT), "karte_id", 10).select("karte_id")
+
+
+def load_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked rows with null texts and null metadata replaced."""
+    return text_files.with_metadata(table(spark, folder, MASKED)).select("source_row_id", F.length("masked_text").alias("n_chars"), F.when(F.col("mask_metadata") == "[]", 1).otherwise(0).alias("without_metadata"))
+
+
+def metadata_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """How many mask objects the metadata of each masked row gives."""
+    return table(spark, folder, MASKED).select("source_row_id", "masked_at", F.size(fill.parsed_metadata(F.col("mask_metadata"))).alias("masks"))
+
+
+def category_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return analyze.category_counts(table(spark, folder, MASKED), ("source_row_id", "PMCID", "PMID", "Case #"))
+
+
+def category_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return analyze.category_rollup(table(spark, folder, MASKED))
+
+
+def version_check(spark: SparkSession, folder: str) -> DataFrame:
+    return analyze.all_of_version(table(spark, folder, MASKED), "mask-trial3")
+
+
+def leak_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked values of the real rows that name a protected pathogen."""
+    return analyze.leaked_pathogens(corpus.p5_masks(spark, folder).select("source_row_id", "mask_pos", "original_value"))
+
+
+def filled_projection(spark: SparkSession, folder: str) -> DataFrame:
+    return analyze.project(table(spark, folder, FILLED), (*analyze.FILLED_COLUMNS, "source_row_id"))
+
+
+def id_false_positives(spark: SparkSession, folder: str) -> DataFrame:
+    """Identifier matches in documents that are single words, counted by word."""
+    found = table(spark, folder, "documents").select(F.explode(spans.regex_spans(F.col("text"), L.ID_PATTERN, "ID", "regex")).alias("s")).select(F.lower("s.original_value").alias("word"))
+    return found.filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def date_shift(spark: SparkSession, folder: str) -> DataFrame:
+    """Date-like values with their kind, the offset of their row and the moved value."""
+    v = spread(date_values(spark, folder), "row_id").withColumn("days", draws.date_offset(F.col("row_id"), F.col("variant_id")))
+    return v.select("row_id", "value", "days", dates.kind(F.col("value")).alias("kind"), dates.shifted_any(F.col("value"), F.col("days")).alias("shifted"))
+
+
+def date_shift_absolute(spark: SparkSession, folder: str) -> DataFrame:
+    """The older rule: only absolute dates move."""
+    v = spread(date_values(spark, folder), "row_id").withColumn("days", draws.date_offset(F.col("row_id"), F.col("variant_id")))
+    return v.select("row_id", "value", dates.shifted(F.col("value"), F.col("days")).alias("shifted"))
+
+
+def replacements(spark: SparkSession, folder: str) -> DataFrame:
+    """Every kind of replacement for one value of each case."""
+    c, k = cases(spark, folder), F.col("source_row_id")
+    age = F.regexp_extract("case_text", r"(\d+-year-old)", 1)
+    sex = F.regexp_extract("case_text", r"(She|He) was", 1)
+    return c.select(
+        "source_row_id", age.alias("age"), values.replaced_age(age, k, 1, 2).alias("new_age"), values.age_category(values.first_number(age)).alias("category"),
+        values.replaced_sex(sex, True).alias("new_sex"), values.replaced_id(F.concat(F.lit("MRN: "), F.lpad(k.cast("string"), 8, "0")), k, 1, 4).alias("new_id"),
+        values.fictitious(F.lit("NAME"), k, 1, 5).alias("new_name"), values.fictitious(F.lit("LOCATION"), k, 1, 6).alias("new_place"), values.fictitious(F.lit("ORGANIZATION"), k, 1, 7).alias("new_institution"),
+    )
+
+
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Three variants of each masked row with the offset of their dates."""
+    rows = fill.with_variants(table(spark, folder, MASKED).select("source_row_id"), 3)
+    return rows.select("source_row_id", "variant_id", "augmentation_factor", draws.date_offset(F.col("source_row_id"), F.col("variant_id")).alias("days"))
+
+
+def filled_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked cases filled by rule, two variants each, sex changed, with validation and status."""
+    config = mask.MaskingConfig(annotator=ANNOTATOR, mask_low_risk_wording=False)
+    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", config).select("source_row_id", "masked_text", F.to_json("metadata").alias("mask_metadata"))
+    out = fill.fill(masked, config=fill.FillingConfig(variants=2, change_sex=True))
+    return out.select("source_row_id", "variant_id", "filled_text", "predicted_tokens", "fill_status", "validation_issues")
+
+
+def filled_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """The real masked rows filled with candidates ranked over the corpus, two variants each."""
+    masked = spread(table(spark, folder, MASKED).select("source_row_id", "masked_at", "masked_text", "mask_metadata"), "source_row_id")
+    ranked = candidates.ranked_pool(candidates.pool_ranking(table(spark, folder, "documents"), "text"))
+    return fill.fill(masked, ranked, config=fill.FillingConfig(variants=2)).drop("mask_metadata")
+
+
+def filled_masked_v3(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the older rules: no safety filter, no validation."""
+    masked = spread(table(spark, folder, MASKED).select("source_row_id", "masked_at", "masked_text", "mask_metadata"), "source_row_id")
+    ranked = candidates.ranked_pool(candidates.pool_ranking(table(spark, folder, "documents"), "text"))
+    return fill.fill(masked, ranked, config=fill.FillingConfig(variants=2, version=3)).drop("mask_metadata")
+
+
+def validation(spark: SparkSession, folder: str) -> DataFrame:
+    """The real filled variants validated against their masked text."""
+    f = table(spark, folder, FILLED)
+    issues = fill.validation_issues(F.coalesce("masked_text", F.lit("")), F.coalesce("filled_text", F.lit("")), F.col("masked_token_count"))
+    return f.select("source_row_id", "variant_id", F.array_join(issues, ";").alias("issues"), fill.fill_status(F.coalesce("masked_text", F.lit("")), F.coalesce("filled_text", F.lit("")), issues).alias("status"))
+
+
+def rejection(spark: SparkSession, folder: str) -> DataFrame:
+    """Why each word of the documents may not replace the neutral word ``also``."""
+    words = table(spark, folder, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    return words.select("word", "docs", F.array_join(safety.rejection_reasons(F.col("word"), F.lit("also"), F.lit("ADV"), F.lit(False)), ";").alias("reasons"))
+
+
+def safe_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The words between two neighbours in the documents, most frequent first, and the safe one chosen for ``also``."""
+    grams = candidates.ngram_table(table(spark, folder, "documents"), "text")
+    lists = grams.groupBy("prev", "next").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("token"), F.col("n").cast("double").alias("score")))).alias("ranked"))
+    chosen = safety.select_safe(F.transform("ranked", lambda r: F.struct(r["token"].alias("token"), r["score"].alias("score"))), F.lit("also"), F.lit("ADV"), F.lit(False), 0)
+    return lists.select("prev", "next", F.array_join(F.transform("ranked", lambda r: r["token"]), ",").alias("ranked"), chosen["replacement"].alias("chosen"), chosen["method"].alias("method"))
+
+
+def pool_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return candidates.pool_ranking(table(spark, folder, "documents"), "text")
+
+
+def ngram_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return candidates.ngram_table(table(spark, folder, "documents"), "text", k=3)
+
+
+def mask_context(spark: SparkSession, folder: str) -> DataFrame:
+    """The context of the first mask of each filled variant's masked text."""
+    f = table(spark, folder, FILLED).filter(F.contains("masked_text", F.lit(L.MASK)))
+    start = F.instr("masked_text", L.MASK) - 1
+    return f.select("source_row_id", "variant_id", candidates.single_mask_context(F.col("masked_text"), start).alias("context"))
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked rows written as delimited text and read again."""
+    from casemill.session import shared_path
+
+    path = shared_path(spark, "csv")
+    columns = ["source_row_id", "PMCID", "masked_token_count", "original_text", "masked_text", "mask_metadata"]
+    text_files.write_csv(table(spark, folder, MASKED).select(*columns), path)
+    return text_files.read_csv(spark, path)
+
+
+def report_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The text report of masked rows, one block per row."""
+    return table(spark, folder, MASKED).select("source_row_id", text_files.report_block(version=3).alias("block"))
+
+
+def streamed_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """Case texts masked by a file stream."""
+    return mask_files_once(spark, f"{folder}/{CASE_TABLE}.parquet", CASE_TEXT, "karte_id")
+
+
+QUERIES: dict[str, Query] = {
+    "cases_view": cases,
+    **{f"regex_{t.lower()}": _span_query(lambda x, t=t, p=p: spans.regex_spans(x, p, t, "regex")) for t, p in _REGEX.items()},
+    "sex_terms": _span_query(annotate.sex_spans),
+    "neutral_words": _span_query(annotate.neutral_spans),
+    "entity_spans": _span_query(ANNOTATOR.entities),
+    "overlap_resolution": _span_query(lambda x: spans.resolve(F.concat(mask.regex_candidates(x, CONFIG), mask.entity_candidates(x, CONFIG)))),
+    **{
+        f.__name__: f
+        for f in (
+            masked_cases, mask_metadata, masked_dataset, masked_dataset_v2, load_cases, first_cases, load_masked, metadata_parsed, category_counts, category_rollup, version_check, leak_check,
+            filled_projection, id_false_positives, date_values, date_shift, date_shift_absolute, replacements, variants, filled_cases, filled_masked, filled_masked_v3, validation, rejection,
+            safe_selection, pool_ranking, ngram_topk, mask_context, csv_round_trip, report_blocks, streamed_masks,
+        )
+    },
+    **corpus.QUERIES,
+}
+
+_COUNTS_SQL = ", ".join(f"{S.count_of('mask_types', t)} as \"{t}\"" for t in L.MASK_TYPES)
+_AGE_SQL, _SEX_SQL = "regexp_extract(case_text, '(\\d+-year-old)', 1)", "regexp_extract(case_text, '(She|He) was', 1)"
+_ISSUES_SQL = f"""list_filter([
+ case when {S.count_of("coalesce(masked_text, '')", L.MASK)} <> masked_token_count then 'mask_metadata_count_mismatch:' || {S.count_of("coalesce(masked_text, '')", L.MASK)} || '!=' || masked_token_count end,
+ case when contains(coalesce(filled_text, ''), '[MASK]') then 'unfilled_mask_remaining' end,
+ case when not list_reduce(string_split(coalesce(masked_text, ''), '[MASK]'), lambda acc, s: case when not acc.ok then acc when length(s) = 0 then acc
+   when strpos(substring(coalesce(filled_text, ''), acc.at + 1), s) = 0 then {{'at': acc.at, 'ok': false}}
+   else {{'at': (acc.at + strpos(substring(coalesce(filled_text, ''), acc.at + 1), s) - 1 + length(s))::BIGINT, 'ok': true}} end, {{'at': 0::BIGINT, 'ok': true}}).ok then 'non_mask_text_changed' end], lambda x: x is not null)"""
+_FILL_MASKS_SQL = f"""with c as ({CASES_SQL}), p as (select c.*, {S.resolved(_PRIORITY_SQL)} as chosen from c),
+masked as (select source_row_id, case_text, chosen, x.o || substring(case_text, x.at + 1) as masked_text from (select p.*, {S.spliced('case_text', 'chosen')} as x from p)),
+v as (select masked.*, variant_id::INTEGER as variant_id from masked, (select unnest([1, 2]) as variant_id)),
+d as (select v.*, {S.date_offset('source_row_id', 'variant_id')} as days from v),
+f as (select d.*, list_transform(chosen, lambda s, i: case s.mask_type when 'AGE' then {S.replaced_age('s.original_value', 'source_row_id', 'variant_id', 'i')}
+  when 'DATE' then {S.shifted_any('s.original_value', 'days')} when 'SEX' then {S.replaced_sex('s.original_value')} when 'ID' then {S.replaced_id('s.original_value', 'source_row_id', 'variant_id', 'i')}
+  else {S.fictitious('s.mask_type', 'source_row_id', 'variant_id', 'i')} end) as reps from d),
+o as (select f.*, array_to_string(list_transform(string_split(masked_text, '[MASK]'), lambda s, i: s || coalesce(reps[i], '')), '') as filled_text from f)
+select source_row_id, variant_id, filled_text, array_to_string(reps, '; ') as predicted_tokens, 'filled' as fill_status, '[]' as validation_issues from o"""
+_GRAMS_SQL = f"""with w as (select regexp_extract_all(lower(text), '[a-z]+') as w from documents where text is not null),
+t as (select unnest(list_transform(range(2, len(w)), lambda i: {{'prev': w[i-1], 'token': w[i], 'next': w[i+1]}})) as t from w where len(w) >= 3),
+n as (select t.prev as prev, t.next as next, t.token as token, count(*) as n from t where t.token in {S.values(candidates.POOL)} group by all),
+g as (select *, row_number() over (partition by prev, next order by n desc, token)::INTEGER as rank from n)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "cases_view": CASES_SQL,
+    **{f"regex_{t.lower()}": _span_sql(S.spans("case_text", p, t, "regex")) for t, p in _REGEX.items()},
+    "sex_terms": _span_sql(S.spans("case_text", S.sex_pattern(), "SEX", "lexicon")),
+    "neutral_words": _span_sql(S.spans("case_text", _NEUTRAL, "LOW_RISK_WORDING", "lexicon:pos")),
+    "entity_spans": _span_sql(_ENTITIES_SQL),
+    "overlap_resolution": _span_sql(S.resolved(_PRIORITY_SQL)),
+    "masked_cases": f"""{_MASK_SQL}, s as (select source_row_id, masked_text, len(chosen)::INTEGER as masked_token_count, array_to_string(list_transform(chosen, lambda x: x.original_value), '; ') as masked_tokens,
+array_to_string(list_transform(chosen, lambda x: x.mask_type), '; ') as mask_types from masked) select *, {_COUNTS_SQL} from s""",
+    "mask_metadata": f"""{_MASK_SQL}, e as (select source_row_id, unnest(list_transform(chosen, lambda x, i: {{'i': i::INTEGER, 's': x}})) as m from masked)
+select source_row_id, m.i as mask_index, m.s.start_char as start_char, m.s.end_char as end_char, m.s.original_value as original_value, m.s.mask_type as mask_type, m.s.source as source,
+{S.constraint('m.s.mask_type', 'm.s.original_value')} as constraint_rule, {S.medical_word('m.s.original_value')} as medical_concept, lower(m.s.original_value) in {S.values(L.SEVERITY_TERMS)} as severity_sensitive,
+lower(m.s.original_value) in {S.values(L.TEMPORALITY_TERMS)} as temporality_sensitive from e""",
+    "load_cases": f"""select karte_id, "Title", length("{CASE_TEXT}")::INTEGER as n_chars from karte_example where "{CASE_TEXT}" is not null and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)}""",
+    "first_cases": f"""select karte_id from karte_example where "{CASE_TEXT}" is not null and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)} order by karte_id limit 10""",
+    "load_masked": f"select source_row_id, length(coalesce(masked_text, ''))::INTEGER as n_chars, case when coalesce(mask_metadata, '[]') = '[]' then 1 else 0 end::INTEGER as without_metadata from {MASKED}",
+    "category_counts": f"""select source_row_id, "PMCID", "PMID", "Case #", masked_token_count, {_COUNTS_SQL}, {", ".join(f"{S.count_of('masked_tokens', p)} as \"{p}\"" for p in L.PATHOGENS)} from {MASKED}""",
+    "category_rollup": f"""select nullif(lower(trim(regexp_replace(disease, '\\s+', ' ', 'g'))), '') as disease, count(*) as cases, sum(masked_token_count)::BIGINT as masks,
+{", ".join(f"sum({S.count_of('mask_types', t)})::BIGINT as \"{t}\"" for t in L.MASK_TYPES)} from {MASKED} group by 1""",
+    "version_check": f"select coalesce(bool_and(masking_version is not distinct from 'mask-trial3'), true) as all_match, count(*) filter (where masking_version is distinct from 'mask-trial3') as others from {MASKED}",
+    "filled_projection": f'select "PMCID", "PMID", "Case #", variant_id, masked_token_count, title, masked_text, filled_text, source_row_id from {FILLED}',
+    "date_values": DATE_VALUES_SQL,
+    "date_shift": f"""with v as ({DATE_VALUES_SQL}), d as (select *, {S.date_offset('row_id', 'variant_id')} as days from v) select row_id, value, days, {S.date_kind('value')} as kind, {S.shifted_any('value', 'days')} as shifted from d""",
+    "date_shift_absolute": f"""with v as ({DATE_VALUES_SQL}), d as (select *, {S.date_offset('row_id', 'variant_id')} as days from v) select row_id, value, coalesce({S.shifted_date('value', 'days')}, value) as shifted from d""",
+    "replacements": f"""with c as ({CASES_SQL}) select source_row_id, {_AGE_SQL} as age, {S.replaced_age(_AGE_SQL, 'source_row_id', '1', '2')} as new_age, {S.age_category(S.first_number(_AGE_SQL))} as category,
+{S.replaced_sex(_SEX_SQL)} as new_sex, {S.replaced_id("('MRN: ' || lpad(source_row_id::VARCHAR, 8, '0'))", 'source_row_id', '1', '4')} as new_id, {S.fictitious("'NAME'", 'source_row_id', '1', '5')} as new_name,
+{S.fictitious("'LOCATION'", 'source_row_id', '1', '6')} as new_place, {S.fictitious("'ORGANIZATION'", 'source_row_id', '1', '7')} as new_institution from c""",
+    "variants": f"select source_row_id, variant_id::INTEGER as variant_id, 3 as augmentation_factor, {S.date_offset('source_row_id', 'variant_id')} as days from {MASKED}, (select unnest([1, 2, 3]) as variant_id)",
+    "filled_cases": _FILL_MASKS_SQL,
+    "validation": f"""with i as (select *, {_ISSUES_SQL} as x from {FILLED}) select source_row_id, variant_id, array_to_string(x, ';') as issues,
+case when trim(coalesce(masked_text, '')) = '' then 'empty' when len(x) = 0 then 'filled' else 'validation_failed' end as status from i""",
+    "rejection": f"""with w as (select unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) as word from documents), c as (select word, count(*) as docs from w group by 1)
+select word, docs, array_to_string({S.rejection_reasons('word', "'also'", "'ADV'")}, ';') as reasons from c""",
+    "pool_ranking": f"""with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents), c as (select token, count(*) as n from w group by 1)
+select p.token, coalesce(n, 0) as n from (select unnest([{", ".join(map(S.text, candidates.POOL))}]) as token) p left join c using (token)""",
+    "ngram_topk": f"{_GRAMS_SQL} select prev, next, token, n, rank from g where rank <= 3",
+    "safe_selection": f"""{_GRAMS_SQL}, l as (select prev, next, list(token order by rank) as r from g where rank <= 8 group by 1, 2),
+s as (select *, list_filter(r, lambda t: len({S.rejection_reasons('t', "'also'", "'ADV'")}) = 0) as ok from l)
+select prev, next, array_to_string(r, ',') as ranked, case when len(ok) > 0 then ok[1] else 'also' end as chosen, case when len(ok) > 0 then 'model_filtered' else 'fallback_restore_original' end as method from s""",
+    "mask_context": f"""with s as (select source_row_id, variant_id, masked_text, strpos(masked_text, '[MASK]') - 1 as b from {FILLED} where contains(masked_text, '[MASK]'))
+select source_row_id, variant_id, replace(substring(masked_text, greatest(0, b - 900) + 1, least(b, 900)), '[MASK]', 'unknown') || '[MASK]' || replace(substring(masked_text, b + 7, 900), '[MASK]', 'unknown') as context from s""",
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
