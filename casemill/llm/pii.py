@@ -32,7 +32,7 @@ thandeka thomas tobias ursula vesna victor wanjiru wei wilhelm william yusuf yuk
 """.split()
 NOT_A_NAME = """
 a about according additional admitted after all also although an and antibiotic antibody antigen apparently april apr assay at aug august autumn ave
-avenue background bacteria bank because before blood blvd boulevard both but by c calle care case cases catalogue center central centre chapare chart
+avenue background bacteria bank because before blood blvd boulevard both but by c call calle dear care case cases catalogue center central centre chapare chart
 children clinic clinica clinical clinicians clinique college commonly conclusion conclusions contact contacts correspondence costs county court crescent cycle
 daily data day days dec december dengue department dept despite dia discussion disease district doctor documents dr drive during each early eastern ebola
 ecg elisa emergency ethics events evening exposure fall fatal february feb fever figure first following for fort friday from fund general generally
@@ -77,6 +77,7 @@ _FIRST = rf"(?:{_CAP}|{_INIT}(?: ?{_INIT})?)"
 _NAME = re.compile(rf"{_OPENS}(?:({_FIRST})((?: {_INIT}){{0,2}}) ((?:{_PART} ){{0,2}}(?:al-)?{_CAP})|((?:{_PART} ){{0,2}}(?:al-)?{_CAP}), ({_CAP}(?: {_INIT})?))(?![\w-])")
 _TITLED = re.compile(rf"\b(?:Dr|Prof|Ms|Mr|Mrs|Miss|Mme|Herr|Frau|Sra?)\.? ((?:{_PART} )?{_CAP})(?![\w-])")
 _NEXT = re.compile(r"[\s,]*([A-Za-z]+)")
+_MORE = re.compile(rf" (?:{_INIT} )?(?:{_PART} ){{0,2}}(?:al-)?{_CAP}")
 _BEFORE = re.compile(r"([^\W\d_]+)[.:,;(\s\"“—–]*$")
 
 _EMAIL = re.compile(
@@ -244,6 +245,9 @@ def _names(text: str) -> list[Span]:
             at = step + 1 if step > 0 else m.end()
             continue
         known = any(_fold(p) in _GIVEN for p in (given if not swapped else given.split()[0]).split("-"))
+        if not swapped and not known and not initial and _fold(family.split()[-1]) in _GIVEN and _MORE.match(text, m.end()):
+            at = m.start(3)  # a word before a given name that is followed by the family name
+            continue
         if swapped and not known:
             step = text.find(" ", m.start(), m.end())
             at = step + 1 if step > 0 else m.end()

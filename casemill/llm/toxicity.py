@@ -70,13 +70,13 @@ KINDS = tuple(LEXICONS)
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһӏмткнвгпοιαρτυκνηε", "aeopcyxijsdhlmtkhbrnoiaptuknne"))
 _HOMOGLYPH = str.maketrans(_LOOKALIKES)
 _LEET = str.maketrans("0134579@$!€", "oieastgasie")
-_MIXED = re.compile(r"(?=[^\s]*[a-z])(?=[^\s]*[0134579@$!€])[a-z0134579@$!€’'èéàçùü-]+")
+_MIXED = re.compile(r"(?=[^\s]*[a-z])(?=[^\s]*[0134579@$!€])(?:[a-z0134579@$€’'èéàçùü-]|!(?=[a-z]))+")
 _SPACED = re.compile(r"\b(?:[a-z][.\-_*]){2,}[a-z]\b")
 _STARS = re.compile(r"\b[a-z]\*{2,}[a-z]?|\b[a-z]+\*+[a-z]+")
 _STRETCH = re.compile(r"(.)\1{2,}")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s*|[\n\r]+|\s+…\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\n\r]+|\s+…\s+")
 _TOKEN = re.compile(r"[^\W_]+")
-_HARMLESS = re.compile(r" (?:needle|pin|finger|skin) (?:stick|prick)s? ")
+_HARMLESS = re.compile(r" (?:n\w{2,5}e|pin|finger|skin|heel) (?:stick|prick)s? ")
 _JA = re.compile(r"[぀-ヿ一-鿿]")
 FEATURES = (
     *(f"{k}_sum" for k in KINDS), *(f"{k}_max" for k in KINDS),
