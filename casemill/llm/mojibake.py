@@ -230,11 +230,13 @@ def _values(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 def garbled_tokens(values: DataFrame) -> DataFrame:
     """(token, strength, chain, restored) of the distinct garbled tokens in ``values`` (column text)."""
     tokens = values.select(F.explode(F.array_distinct(F.split("text", SPACE))).alias("token")).filter(F.col("token").rlike("[^\\x00-\\x7F]"))
-    vocabulary = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    units = vocabulary.select(F.explode(_clean_units("token")).alias("orig"), "n").groupBy("orig").agg(F.sum("n").alias("n_orig"))
+    # The vocabulary and its units are small in bytes but heavy per row, so they are spread over all cores by hand.
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    vocabulary = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).repartition(2 * cores, F.xxhash64("token")))
+    units = vocabulary.select(F.explode(_clean_units("token")).alias("orig"), "n").groupBy("orig").agg(F.sum("n").alias("n_orig")).repartition(2 * cores, F.xxhash64("orig"))
     forms = units.select("orig", "n_orig", F.explode(_garbled("orig")).alias("g")).groupBy(F.col("g.form").alias("form")).agg(F.max(F.struct("n_orig", F.length("orig").alias("length"), "orig", F.col("g.chain").alias("chain"))).alias("o"))
     parts = vocabulary.select("token", "n", F.explode(_lookup_units("token")).alias("form"))
-    matched = parts.join(forms, "form")
+    matched = cut(parts.join(forms, "form"))
     n_form = matched.groupBy("form").agg(F.sum("n").alias("n_form"))
     full = matched.join(n_form, "form")
     per_token = full.groupBy("token").agg(F.collect_list(F.struct("form", F.col("o.orig").alias("orig"), F.col("o.n_orig").alias("n_orig"), F.col("o.chain").alias("chain"), "n_form")).alias("found"))
