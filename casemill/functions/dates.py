@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +24,11 @@ STYLES = (
 )
 
 
+def bind(column: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(column)`` with the column computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
+
+
 def _cleaned(value: Column) -> Column:
     """Trimmed, ordinal endings after a blank dropped, blanks collapsed to one."""
     bare = F.regexp_replace(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), r"(?iU)\s+(?:st|nd|rd|th)\b", "")
@@ -42,9 +51,17 @@ def parsed(value: Column) -> tuple[Column, Column]:
 
 
 def _shifted_or_null(value: Column, days: Column) -> Column:
-    text = _cleaned(value)
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(pattern), F.date_format(F.date_add(_read(text, style, read), days), write)) for style, pattern, read, write in STYLES])
+    def moved(text: Column, low: Column) -> Column:
+        return F.coalesce(*[F.when(low.rlike(pattern), F.date_format(F.date_add(_read(text, style, read), days), write)) for style, pattern, read, write in STYLES])
+
+    return bind(_cleaned(value), lambda text: F.when(text.rlike(r"\d{4}|/\d\d$"), bind(F.lower(text), lambda low: moved(text, low))))
+
+
+def _is_absolute(value: Column) -> Column:
+    def fits(text: Column, low: Column) -> Column:
+        return reduce(or_, [low.rlike(pattern) & _read(text, style, read).isNotNull() for style, pattern, read, _ in STYLES])
+
+    return bind(_cleaned(value), lambda text: F.coalesce(bind(F.lower(text), lambda low: fits(text, low)), F.lit(False)))
 
 
 def shifted(value: Column, days: Column) -> Column:
@@ -60,7 +77,7 @@ def kind(value: Column) -> Column:
     """absolute_date, month_day, week_range, gestational_age, duration or unparsed; the first that fits."""
     text = _stripped(value)
     return (
-        F.when(parsed(value)[0].isNotNull(), "absolute_date")
+        F.when(_is_absolute(value), "absolute_date")
         .when(text.rlike("(?i)" + L.MONTH_DAY_PATTERN), "month_day")
         .when(text.rlike("(?i)" + L.WEEK_RANGE_PATTERN), "week_range")
         .when(text.rlike("(?i)" + L.GESTATIONAL_PATTERN), "gestational_age")

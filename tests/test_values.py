@@ -30,7 +30,7 @@ def test_two_digit_years_pivot_at_69(spark):
 
 
 KINDS = [
-    ("2020-01-02", "absolute_date"), ("day 5", "month_day"), ("March 5th", "month_day"), ("6-8 weeks", "week_range"), ("6–8 week", "week_range"),
+    ("2020-01-02", "absolute_date"), ("Mar 5, 2020", "absolute_date"), ("may 5 2020", "absolute_date"), ("12/31/99", "absolute_date"), ("2020-02-30", "unparsed"), ("day 5", "month_day"), ("March 5th", "month_day"), ("6-8 weeks", "week_range"), ("6–8 week", "week_range"),
     ("gestational age 41 weeks", "gestational_age"), ("age 1 week", "gestational_age"), ("3 days", "duration"), ("10months", "duration"), ("15, 2019", "unparsed"), ("soon", "unparsed"), (None, None),
 ]
 
