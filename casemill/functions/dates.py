@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casemill.functions import lexicons as L
+from casemill.functions.binding import bind
 
 #: Styles in the order in which they are tried: name, pattern of the cleaned value, how it is read and written.
 STYLES = (
@@ -24,11 +24,6 @@ STYLES = (
 )
 
 
-def bind(column: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(column)`` with the column computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(column), use), F.lit(0))
-
-
 def _cleaned(value: Column) -> Column:
     """Trimmed, ordinal endings after a blank dropped, blanks collapsed to one."""
     bare = F.regexp_replace(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), r"(?iU)\s+(?:st|nd|rd|th)\b", "")

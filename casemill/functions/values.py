@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casemill.functions import lexicons as L
+from casemill.functions.binding import bind
 from casemill.functions.draws import SEED, draw, pick
 
 
@@ -20,8 +21,8 @@ def first_number(value: Column) -> Column:
 
 def constraint(mask_type: Column, value: Column) -> Column:
     """What a replacement of this mask must respect, in words."""
-    age = first_number(value)
-    aged = F.when(age.isNull(), L.AGE_CONSTRAINT_UNKNOWN).otherwise(F.concat(F.lit(L.AGE_CONSTRAINT.split("{}")[0]), age_category(age), F.lit(L.AGE_CONSTRAINT.split("{}")[1])))
+    head, tail = L.AGE_CONSTRAINT.split("{}")
+    aged = bind(first_number(value), lambda age: F.when(age.isNull(), L.AGE_CONSTRAINT_UNKNOWN).otherwise(F.concat(F.lit(head), age_category(age), F.lit(tail))))
     out = F.when(mask_type == "AGE", aged)
     for name, text in L.CONSTRAINTS.items():
         out = out.when(mask_type == name, text)
@@ -30,14 +31,17 @@ def constraint(mask_type: Column, value: Column) -> Column:
 
 def replaced_age(value: Column, *key: Column | str | int, seed: int = SEED) -> Column:
     """Another age near by in the same category; unchanged where no other age fits."""
-    age = first_number(value)
-    low = F.when(age < 18, F.greatest(F.lit(0), age - L.AGE_SPREAD["pediatric"])).when(age < 65, F.greatest(F.lit(18), age - L.AGE_SPREAD["adult"])).otherwise(F.greatest(F.lit(65), age - L.AGE_SPREAD["older_adult"]))
-    high = F.when(age < 18, F.least(F.lit(17), age + L.AGE_SPREAD["pediatric"])).when(age < 65, F.least(F.lit(64), age + L.AGE_SPREAD["adult"])).otherwise(F.least(F.lit(110), age + L.AGE_SPREAD["older_adult"]))
-    inside = age.between(low, high)
-    choices = high - low + F.when(inside, 0).otherwise(1)
-    at = low + draw(choices, *key, "age", seed=seed).cast("int")
-    new = F.when(inside & (at >= age), at + 1).otherwise(at)
-    return F.when(age.isNotNull() & (choices > 0), F.regexp_replace(value, F.lit(r"^(\D*)\d{1,3}"), F.concat(F.lit("$1"), F.lit(""), new.cast("string")))).otherwise(value)
+    def moved(age: Column) -> Column:
+        low = F.when(age < 18, F.greatest(F.lit(0), age - L.AGE_SPREAD["pediatric"])).when(age < 65, F.greatest(F.lit(18), age - L.AGE_SPREAD["adult"])).otherwise(F.greatest(F.lit(65), age - L.AGE_SPREAD["older_adult"]))
+        high = F.when(age < 18, F.least(F.lit(17), age + L.AGE_SPREAD["pediatric"])).when(age < 65, F.least(F.lit(64), age + L.AGE_SPREAD["adult"])).otherwise(F.least(F.lit(110), age + L.AGE_SPREAD["older_adult"]))
+        return bind(F.struct(low.alias("low"), high.alias("high"), age.between(low, high).alias("inside")), lambda r: chosen(age, r["low"], r["high"], r["inside"]))
+
+    def chosen(age: Column, low: Column, high: Column, inside: Column) -> Column:
+        choices = high - low + F.when(inside, 0).otherwise(1)
+        at = low + draw(choices, *key, "age", seed=seed).cast("int")
+        return bind(F.when(age.isNotNull() & (choices > 0), at), lambda x: F.when(inside & (x >= age), x + 1).otherwise(x))
+
+    return bind(bind(first_number(value), moved), lambda new: F.when(new.isNotNull(), F.regexp_replace(value, F.lit(r"^(\D*)\d{1,3}"), F.concat(F.lit("$1"), new.cast("string")))).otherwise(value))
 
 
 def replaced_id(value: Column, *key: Column | str | int, seed: int = SEED) -> Column:
@@ -53,9 +57,8 @@ def replaced_sex(value: Column, change: bool) -> Column:
     if not change:
         return value
     pairs = F.create_map(*[F.lit(x) for pair in L.SEX_PAIRS.items() for x in pair])
-    new = F.coalesce(F.try_element_at(pairs, F.lower(value)), value)
-    upper = F.substring(value, 1, 1).rlike(r"^\p{Lu}")
-    return F.when(upper, F.concat(F.upper(F.substring(new, 1, 1)), F.lower(F.substring(new, 2, 1_000_000)))).otherwise(new)
+    upper = value.rlike(r"^\p{Lu}")
+    return bind(F.coalesce(F.try_element_at(pairs, F.lower(value)), value), lambda new: F.when(upper, F.concat(F.upper(F.substring(new, 1, 1)), F.lower(F.substring(new, 2, 1_000_000)))).otherwise(new))
 
 
 def fictitious(mask_type: Column, *key: Column | str | int, seed: int = SEED) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import lexicons as L
+from casemill.functions.binding import bind
 from casemill.functions.dates import kind, shifted, shifted_any
 from casemill.functions.draws import SEED, date_offset
 from casemill.functions.values import fictitious, replaced_age, replaced_id, replaced_sex
@@ -185,14 +186,17 @@ def segments_kept(masked: Column, filled: Column) -> Column:
 
 def validation_issues(masked: Column, filled: Column, masks: Column | int, mask_issues: Column | None = None) -> Column:
     """What is wrong with a filled text: counts that differ, masks that are left, changed text, issues of masks. Each once, in order."""
-    expected = count_of(masked, L.MASK)
     n = (masks if isinstance(masks, Column) else F.lit(masks)).cast("long")
-    checks = F.array(
-        F.when(expected != n, F.concat(F.lit("mask_metadata_count_mismatch:"), expected.cast("string"), F.lit("!="), n.cast("string"))),
-        F.when(F.contains(filled, F.lit(L.MASK)), F.lit("unfilled_mask_remaining")),
-        F.when(~segments_kept(masked, filled), F.lit("non_mask_text_changed")),
-    )
-    return F.array_distinct(F.array_compact(F.concat(checks, mask_issues) if mask_issues is not None else checks))
+
+    def found(text: Column, expected: Column) -> Column:
+        checks = F.array(
+            F.when(expected != n, F.concat(F.lit("mask_metadata_count_mismatch:"), expected.cast("string"), F.lit("!="), n.cast("string"))),
+            F.when(F.contains(text, F.lit(L.MASK)), F.lit("unfilled_mask_remaining")),
+            F.when(~segments_kept(masked, text), F.lit("non_mask_text_changed")),
+        )
+        return F.array_distinct(F.array_compact(F.concat(checks, mask_issues) if mask_issues is not None else checks))
+
+    return bind(filled, lambda text: bind(count_of(masked, L.MASK), lambda expected: found(text, expected)))
 
 
 def fill_status(masked: Column, filled: Column, issues: Column | None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casemill.functions import lexicons as L
+from casemill.functions.binding import bind
 
 SPAN = "struct<start_char:int,end_char:int,original_value:string,mask_type:string,source:string>"
 SPANS = f"array<{SPAN}>"
@@ -24,8 +25,6 @@ def regex_spans(text: Column, pattern: str, mask_type: str, source: str) -> Colu
     Offsets come from the lengths of the matches and of what lies between them.
     """
     java = f"(?iuU){pattern}"
-    hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    pairs = F.zip_with(F.split(text, java, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -34,8 +33,11 @@ def regex_spans(text: Column, pattern: str, mask_type: str, source: str) -> Colu
         span = F.struct(a.alias("start_char"), b.alias("end_char"), pair["hit"].alias("original_value"), F.lit(mask_type).alias("mask_type"), F.lit(source).alias("source"))
         return F.struct(F.coalesce(b, a).alias("at"), F.when(pair["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(hits) > 0, found).when(text.isNotNull(), no_spans())
+    def found(hits: Column) -> Column:
+        pairs = F.zip_with(F.split(text, java, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+        return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).when(hits.isNotNull(), no_spans())
+
+    return bind(F.regexp_extract_all(text, F.lit(java), F.lit(0)), found)
 
 
 def overlaps(a: Column, b: Column) -> Column:
