@@ -29,6 +29,8 @@ MIN_WORDS = 13
 #: Edits allowed per character of a passage, and the most characters one gap between q-grams may hold.
 EDIT_SHARE, GAP, INTERRUPTION = 0.34, 48, 400
 LEAST = 24
+#: Documents beyond this many letters and digits are searched in windows.
+WINDOW = 8_000
 #: Characters of items that are indexed and broadcast at once; more items are taken in blocks.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that are hashed at once in a worker.
@@ -101,6 +103,7 @@ class ItemIndex:
             self.ids.append(item_id)
             self.texts.append(flat)
             self.starts.append(starts)
+        self.longest = max(map(len, self.texts), default=0)
         if self.ids:
             h, p, o = np.concatenate(hashes), np.concatenate(places), np.concatenate(owners)
             order = np.argsort(h, kind="stable")
@@ -143,20 +146,44 @@ class ItemIndex:
             a, b = np.searchsorted(hits, (begin, begin + len(flat)))
             if b - a >= Q:
                 places = hits[a:b]
-                out[i] = self._leaks(flat, places - begin, at[places])
+                out[i] = self._windows(flat, places - begin, at[places])
             begin += len(flat) + Q
 
-    def _leaks(self, flat: str, doc_places: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
-        """Items of which the document holds a passage; places already explained by a better item count no more."""
+    def _windows(self, flat: str, places: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
+        """Long documents in windows that overlap by more than the longest passage, so that the work grows with the length.
+
+        A passage at the edge of a window may be cut there; it lies whole inside the next window and only counts in that one.
+        """
+        size = max(WINDOW, 4 * self.longest)
+        if len(flat) <= size:
+            return [(i, w) for i, w, _, _ in self._leaks(flat, places, grams)]
+        edge = GAP + Q
+        step = size - self.longest - INTERRUPTION - 2 * edge
+        best: dict[int, int] = {}
+        for start in range(0, len(flat), step):
+            end = min(len(flat), start + size)
+            a, b = np.searchsorted(places, (start, end - Q + 1))
+            if b - a >= Q:
+                for i, words, lo, hi in self._leaks(flat[start:end], places[a:b] - start, grams[a:b]):
+                    if (start == 0 or lo >= edge) and (end == len(flat) or hi <= end - start - edge):
+                        best[i] = max(best.get(i, 0), words)
+            if end == len(flat):
+                break
+        return sorted(best.items())
+
+    def _leaks(self, flat: str, doc_places: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item id, words, from, to) of the items of which the document holds a passage; places already explained by a better item count no more."""
         counts = self.counts[grams]
         total = int(counts.sum())
         rows = np.repeat(np.arange(len(grams)), counts)
         offsets = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         where = self.first[grams][rows] + offsets
         doc, item, place = doc_places[rows], self.owners[where], self.places[where]
-        found: list[tuple[int, int]] = []
+        by_item = np.argsort(item, kind="stable")
+        bounds = np.searchsorted(item[by_item], np.arange(len(self.ids) + 1))
+        found: list[tuple[int, int, int, int]] = []
         free = np.ones(len(flat), dtype=bool)
-        known: dict[int, tuple[int, int, int, int, int] | None] = {}
+        known: dict[int, tuple[int, int, int, int, tuple] | None] = {}
         while True:
             per_item = np.bincount(item[free[doc]], minlength=len(self.ids))
             best, best_item, seen = None, -1, []
@@ -166,7 +193,7 @@ class ItemIndex:
                 if per_item[k] < LEAST or (best and per_item[k] + 8 * Q < best[0]):
                     break
                 if k not in known:
-                    mine = item == k
+                    mine = by_item[bounds[k] : bounds[k + 1]]
                     known[k] = self._passage(k, flat, doc[mine], place[mine], free)
                 if got := known[k]:
                     seen.append(k)
@@ -174,17 +201,18 @@ class ItemIndex:
                         best, best_item = got, k
             if best is None:
                 return found
-            score, words, lo, hi, _ = best
+            score, words, lo, hi, pieces = best
             whole = len(self.starts[best_item]) - 2
             ties = [k for k in seen if k != best_item and known[k][0] >= 0.97 * score and known[k][2] < hi and known[k][3] > lo]
             if not ties or words >= whole:
-                found.append((self.ids[best_item], words))
-                found += [(self.ids[k], known[k][1]) for k in ties if known[k][1] >= len(self.starts[k]) - 2]
-            free[lo:hi] = False
+                found.append((self.ids[best_item], words, lo, hi))
+                found += [(self.ids[k], *known[k][1:4]) for k in ties if known[k][1] >= len(self.starts[k]) - 2]
+            for a, b in pieces:
+                free[a:b] = False
             known = {k: got for k, got in known.items() if k != best_item and k not in ties and (got is None or got[3] <= lo or got[2] >= hi)}
 
-    def _passage(self, k: int, flat: str, doc: np.ndarray, place: np.ndarray, free: np.ndarray) -> tuple[int, int, int, int, int] | None:
-        """(matched characters, words, from, to, edits) of the best passage of item ``k`` on free places."""
+    def _passage(self, k: int, flat: str, doc: np.ndarray, place: np.ndarray, free: np.ndarray) -> tuple[int, int, int, int, tuple] | None:
+        """(matched characters, words, from, to, places) of the best passage of item ``k`` on free places."""
         ok = free[doc]
         doc, place = doc[ok], place[ok]
         if len(doc) < 2 * Q:
@@ -204,7 +232,7 @@ class ItemIndex:
         order = np.lexsort((place, doc))
         return self._chain(k, flat, doc[order].tolist(), place[order].tolist())
 
-    def _chain(self, k: int, flat: str, doc: list[int], place: list[int]) -> tuple[int, int, int, int, int] | None:
+    def _chain(self, k: int, flat: str, doc: list[int], place: list[int]) -> tuple[int, int, int, int, tuple] | None:
         # Runs of q-grams on one diagonal become blocks.
         blocks: list[list[int]] = []
         open_on: dict[int, int] = {}
@@ -218,23 +246,23 @@ class ItemIndex:
                 blocks.append([d, d + Q - 1, p])
         # Chain blocks in order on both sides; a gap costs its edits.
         n = len(blocks)
-        if n > 400:
-            blocks = sorted(sorted(blocks, key=lambda b: b[0] - b[1])[:400])
-            n = len(blocks)
         text = self.texts[k]
+        reach = INTERRUPTION + len(text)
         best = [b[1] - b[0] + 1 for b in blocks]
         edits = [0] * n
         prev = [-1] * n
         for j in range(n):
             d0, d1, p0 = blocks[j]
             own = d1 - d0 + 1
-            for i in range(j - 1, max(-1, j - 60), -1):
+            for i in range(j - 1, -1, -1):
                 e0, e1, q0 = blocks[i]
+                if d0 - e0 > reach:
+                    break
                 q1 = q0 + e1 - e0
                 if e0 >= d0 or q0 >= p0:
                     continue
                 overlap = max(0, e1 - d0 + 1, q1 - p0 + 1)
-                if overlap >= own:
+                if overlap >= own or best[i] + own - overlap <= best[j]:
                     continue
                 gap_doc, gap_item = d0 - e1 - 1, p0 - q1 - 1
                 if gap_item > GAP or gap_doc > INTERRUPTION:
@@ -247,8 +275,14 @@ class ItemIndex:
         for j in sorted(range(n), key=lambda j: -best[j])[:12]:
             i, first = j, j
             matched = 0
+            pieces: list[tuple[int, int]] = []
             while i >= 0:
-                matched += blocks[i][1] - blocks[i][0] + 1
+                d0, d1, _ = blocks[i]
+                matched += d1 - d0 + 1
+                if pieces and pieces[-1][0] - d1 <= GAP:
+                    pieces[-1] = (d0, pieces[-1][1])
+                else:
+                    pieces.append((d0, d1 + 1))
                 first = i
                 i = prev[i]
             a, b = blocks[first][2], blocks[j][2] + blocks[j][1] - blocks[j][0] + 1
@@ -256,7 +290,7 @@ class ItemIndex:
                 continue
             words = self.words(k, max(0, a - 1), b)
             if words >= MIN_WORDS:
-                got = (best[j], words, blocks[first][0], blocks[j][1] + 1, edits[j])
+                got = (best[j], words, blocks[first][0], blocks[j][1] + 1, tuple(pieces))
                 found = got if found is None or got > found else found
         return found
 
@@ -264,9 +298,9 @@ class ItemIndex:
 def _gap_edits(a: str, b: str) -> int:
     """Edits between the two sides of a gap, by alignment in a band; text put in between costs no more than one word."""
     if not a or not b:
-        return min(len(a), Q) if not b else len(b)
+        return len(b) if not a else min(len(a), Q) if len(a) <= GAP else 2 * Q
     if len(a) > 2 * len(b) + 2 * Q:
-        return len(b) + Q // 2
+        return len(b) + (Q // 2 if len(a) <= GAP else 2 * Q)
     band = abs(len(a) - len(b)) + 6
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

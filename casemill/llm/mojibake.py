@@ -136,8 +136,8 @@ def clean_units(token: str) -> set[str]:
 def lookup_units(token: str) -> set[str]:
     """Parts of a document token that are looked up: the token, without outer marks, its words, and what starts at a non-ASCII character."""
     bare = token.strip(_EDGE)
-    units = {token[:200], bare, *(m[0] for m in _WORD.finditer(token))}
-    for m in _RUN.finditer(token[:400]):
+    units = {token, bare, *(m[0] for m in _WORD.finditer(token))}
+    for m in _RUN.finditer(token):
         a, b = m.span()
         for end in range(a + 1, min(len(token), a + LONGEST) + 1):
             units.add(token[a:end])

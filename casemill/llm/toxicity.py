@@ -28,7 +28,7 @@ THRESHOLD = 0.5
 
 # Lexicons by kind in English, German, French, Spanish and Japanese, without accents.
 LEXICONS = {
-    "insult": """idiot|idiots|moron|morons|imbecile|cretin|halfwit|half wit|dumbass|dumb ass|asshole|arsehole|bastard|bitch|prick|dickhead|shithead|scum|scumbag|
+    "insult": """starredword|idiot|idiots|moron|morons|imbecile|cretin|halfwit|half wit|dumbass|dumb ass|asshole|arsehole|bastard|bitch|prick|dickhead|shithead|scum|scumbag|
 vermin|trash|worthless|loser|clown|brain dead|braindead|piece of shit|pig|parasite|twat|wanker|cunt|retard|dimwit|nitwit|pathetic|shut up|smug face|crawl back|
 nobody asked|nobody reads you|this crap|bullshit|fuck off|fuck you|fucking|go to hell|stupid|fool|jerk|freak|cow|swallowed you|ugly|liar|coward|garbage|filthy|
 vollidiot|hirnloser|arschloch|fresse|drecksack|dreckspack|stuck dreck|wichser|hurensohn|missgeburt|abschaum|trottel|depp|schwachkopf|scheisskerl|halt die|
@@ -70,8 +70,9 @@ KINDS = tuple(LEXICONS)
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһӏмткнвгпοιαρτυκνηε", "aeopcyxijsdhlmtkhbrnoiaptuknne"))
 _HOMOGLYPH = str.maketrans(_LOOKALIKES)
 _LEET = str.maketrans("0134579@$!€", "oieastgasie")
-_MIXED = re.compile(r"(?=[^\s]*[a-z])(?=[^\s]*[0134579@$!€])(?:[a-z0134579@$€’'èéàçùü-]|!(?=[a-z]))+")
-_SPACED = re.compile(r"\b(?:[a-z][.\-_*]){2,}[a-z]\b")
+_RUN = re.compile(r"[a-z0134579@$!€’'èéàçùü-]+")
+_HAS_LEET, _HAS_LETTER = re.compile(r"[0134579@$!€]"), re.compile(r"[a-z$@!€]")
+_SPACED = re.compile(r"\b(?:[a-z][.\-_*]){2,}[a-z]\b|(?<![\w'’])(?:[a-z] ){3,}[a-z](?![\w'’])")
 _STARS = re.compile(r"\b[a-z]\*{2,}[a-z]?|\b[a-z]+\*+[a-z]+")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\n\r]+|\s+…\s+")
@@ -83,6 +84,7 @@ FEATURES = (
     "any_max", "kinds_max", "near_max", "threat_near", "self_near", "insult_near", "sexual_near", "strong_near",
     "density_max", "caps_top", "caps_doc", "exclaim_top", "exclaim_doc", "leet_top", "stars_doc", "stars_near", "spaced_doc", "mixed_script_doc", "stretch_doc",
     "fixed_top", "clinical_top", "reporting_top", "address_doc", "length_top", "log_length", "short_top",
+    "clean_max", "clean_sum", "clean_near", "net_max",
 )
 
 
@@ -125,6 +127,7 @@ class Matcher:
             self.machine.add_word(key, (key.strip(), tuple(sorted(found))))
         self.machine.make_automaton()
         common = set(CLINICAL) | {"wore", "moon", "pick", "those", "these", "should", "could", "would", "there", "their", "where", "whose", "world", "blood", "burns", "stopped", "number", "every"}
+        self.long = sorted((w for w in words if len(w) >= 5), key=len, reverse=True)
         self.fix: dict[str, str] = {}
         for w in sorted(words):
             for s in _slips(w):
@@ -170,20 +173,28 @@ def features(text: str | None) -> list[float] | None:
             mixed = sum(a != b for a, b in zip(low, swapped)) if re.search("[a-z]", low) else 0
             low = swapped
         stars = len(_STARS.findall(low))
+        if stars:
+            low = _STARS.sub(" starredword ", low)
         spaced = _SPACED.findall(low)
         for w in spaced:
-            low = low.replace(w, re.sub(r"[.\-_*]", "", w))
+            joined = re.sub(r"[.\-_* ]", "", w)
+            for known in m.long:
+                if known in joined:
+                    joined = joined.replace(known, f" {known} ")
+            low = low.replace(w, joined)
         leet = 0
 
         def unleet(match: re.Match) -> str:
             nonlocal leet
-            word = match[0]
-            if not re.search(r"[a-z$@!€]", word) or re.fullmatch(r"\d+[a-z]{1,3}|[a-z]{1,3}\d+", word):
-                return word
+            whole = match[0]
+            word = whole.rstrip("!")
+            if not _HAS_LEET.search(word) or not _HAS_LETTER.search(word) or re.fullmatch(r"\d+[a-z]{1,3}|[a-z]{1,3}\d+", word):
+                return whole
             leet += 1
-            return word.translate(_LEET)
+            return word.translate(_LEET) + whole[len(word) :]
 
-        low = _MIXED.sub(unleet, low)
+        if _HAS_LEET.search(low):
+            low = _RUN.sub(unleet, low)
         stretch = 0
         if _STRETCH.search(low):
             squeezed = _STRETCH.sub(r"\1", low)
@@ -204,9 +215,14 @@ def features(text: str | None) -> list[float] | None:
         total["address_doc"] += len(addressed)
         counts = dict.fromkeys(KINDS, 0)
         near = dict.fromkeys(KINDS, 0)
+        clinical_at = [i for i, w in enumerate(words) if w in _CLINICAL]
+        clean = clean_near = 0
         for end, entry, kinds in hits:
             at = sentence.count(" ", 0, max(1, end - len(entry))) - 1
             close = japanese_address or any(abs(i - at) <= 6 for i in addressed)
+            if kinds != ("swear",) and (_JA.search(entry) or not any(abs(i - at) <= 5 for i in clinical_at)):
+                clean += 1
+                clean_near += close
             for kind in kinds:
                 counts[kind] += 1
                 near[kind] += close
@@ -226,6 +242,10 @@ def features(text: str | None) -> list[float] | None:
         total["sexual_near"] = max(total["sexual_near"], near["sexual"])
         total["strong_near"] = max(total["strong_near"], near_here + strong)
         total["density_max"] = max(total["density_max"], density)
+        total["clean_max"] = max(total["clean_max"], clean)
+        total["clean_sum"] += clean
+        total["clean_near"] = max(total["clean_near"], clean_near)
+        total["net_max"] = max(total["net_max"], strong + 0.5 * near_here - 0.7 * len(clinical_at))
         total["stars_doc"] += stars
         total["stars_near"] += stars * bool(addressed or strong)
         total["spaced_doc"] += len(spaced)
