@@ -49,6 +49,7 @@ def _scan(text: str, use_depth: bool) -> tuple[list[tuple[int, int, str]], int]:
     """Possible separators outside quotes as (start, end, kind), and the depth that was left open."""
     found: list[tuple[int, int, str]] = []
     i, n, depth, fresh, quote = 0, len(text), 0, True, ""
+    dead: set[str] = set()  # quotes that close nowhere in the rest of the field
     while i < n:
         ch = text[i]
         if quote:
@@ -72,9 +73,11 @@ def _scan(text: str, use_depth: bool) -> tuple[list[tuple[int, int, str]], int]:
         if ch == "\\" and i + 1 < n:
             i, fresh = i + 2, False
             continue
-        if fresh and ch in QUOTES and _closes(text, i + 1, QUOTES[ch]):
-            quote, i = QUOTES[ch], i + 1
-            continue
+        if fresh and ch in QUOTES and ch not in dead:
+            if _closes(text, i + 1, QUOTES[ch]):
+                quote, i = QUOTES[ch], i + 1
+                continue
+            dead.add(ch)
         if use_depth and ch in OPEN:
             depth, fresh, i = depth + 1, False, i + 1
             continue
