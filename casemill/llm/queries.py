@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm import leaks, mojibake, pii, splits, tokens, toxicity
+from casemill.llm.sql import ORACLE_SQL as ORACLE_SQL
 from casemill.sources.tables import table
 
 CASES, FILLED = "karte_example", "clinical_case_mask_filling4"
@@ -82,4 +83,3 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}
-ORACLE_SQL: dict[str, str] = {}
