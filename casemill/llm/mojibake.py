@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemill.llm.splits import hot_join
 from casemill.session import cut
 
 #: Encodings in which bytes were written and, for each, those in which they were read. Fixed values.
@@ -39,6 +40,7 @@ RATIO, RATIO_SHORT = 3, 20
 LONGEST = 24
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"(?:[^\W\d_]|[^\x00-\x7f])+(?:['’\-–](?:[^\W\d_]|[^\x00-\x7f])+)*")
+_CJK = re.compile("[぀-ヿ一-鿿]")
 _C1 = re.compile("[\x80-\x9f�]")
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 SPACE = "[ \\t\\n\\r]+"
@@ -161,8 +163,10 @@ def _strength(form: str, orig: str, token: str, n_form: int, n_orig: int, chain:
         return 2
     whole = form in (token, bare) or form in _WORD.findall(token)
     letters = sum(c.isascii() and c.isalnum() for c in form)
-    if run >= 2:
-        return 2 if len(form) >= 4 and n_orig >= RATIO * n_form else int(whole)
+    if run >= 2 and n_orig >= RATIO * n_form:
+        return 2 if len(form) >= 4 else int(whole)
+    if run >= 2:  # as common as its original: only Japanese words read as Latin letters are odd enough
+        return int(whole and chain.startswith(("cp932>", "euc_jp>")) and len(_CJK.findall(orig)) >= 2)
     if not whole:
         return 0
     if letters >= 3 and n_orig >= RATIO * n_form:
@@ -261,7 +265,8 @@ def _hits(values: DataFrame) -> DataFrame:
     """(k, field, text_id, token, strength, chain, restored): the garbled tokens of each value, matched by hash join."""
     garbled = garbled_tokens(values)
     tokens = values.select("k", "field", F.xxhash64("text").alias("text_id"), F.explode(F.array_distinct(F.split("text", SPACE))).alias("token")).filter(F.col("token").rlike("[^\\x00-\\x7F]"))
-    return tokens.join(garbled, "token")
+    # A token may stand in a third of all rows; such tokens are joined by broadcast.
+    return hot_join(tokens, garbled, "token", values.count()).filter(F.col("strength").isNotNull())
 
 
 def restore_garbled(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
