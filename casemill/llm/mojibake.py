@@ -4,14 +4,15 @@ From all texts the distinct tokens with non-ASCII characters are taken, and from
 parts of words that are clean. Each clean one is garbled under every chain of encodings; the result is
 a table garbled form -> original. Document tokens (and their parts) are hash-joined against this
 table. A match counts when the original is verified: it is clean, the form is not, and for forms that
-could also be rightly stored words the original is much more common in the corpus. Only distinct
-tokens are joined, so copies and hot groups weigh nothing.
+could also be rightly stored words the original is much more common in the corpus. What is counted are
+distinct texts, so copies and hot groups don't outweigh the original; rows count only where the original
+stands in no fewer texts than the form. Only distinct tokens are joined.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -149,8 +150,8 @@ def lookup_units(token: str) -> set[str]:
     return {u for u in units if len(u) <= 200 and not u.isascii()}
 
 
-def _strength(form: str, orig: str, token: str, n_form: int, n_orig: int, chain: str) -> int:
-    """2: the form alone is proof; 1: it needs another one in the same value; 0: it proves nothing."""
+def _strength(form: str, orig: str, token: str, ratio: float, chain: str) -> int:
+    """2: the form alone is proof; 1: it needs another one in the same value; 0: it proves nothing. ``ratio``: how much more common the original is."""
     bare = token.strip(_EDGE)
     run = max((len(r) for r in _RUN.findall(form)), default=0)
     if chain.startswith("cp1252>cp932") and any(len(r) > 1 for r in _RUN.findall(orig)):
@@ -163,22 +164,28 @@ def _strength(form: str, orig: str, token: str, n_form: int, n_orig: int, chain:
         return 2
     whole = form in (token, bare) or form in _WORD.findall(token)
     letters = sum(c.isascii() and c.isalnum() for c in form)
-    if run >= 2 and n_orig >= RATIO * n_form:
+    if run >= 2 and ratio >= RATIO:
         return 2 if len(form) >= 4 else int(whole)
     if run >= 2:  # as common as its original: only Japanese words read as Latin letters are odd enough
         return int(whole and chain.startswith(("cp932>", "euc_jp>")) and len(_CJK.findall(orig)) >= 2)
     if not whole:
         return 0
-    if letters >= 3 and n_orig >= RATIO * n_form:
+    if letters >= 3 and ratio >= RATIO:
         return 2
-    if n_orig >= RATIO_SHORT * n_form:
+    if ratio >= RATIO_SHORT:
         return 2
-    return 1 if n_orig >= RATIO * n_form else 0
+    return 1 if ratio >= RATIO else 0
 
 
-def _restored(token: str, found: Sequence[tuple[str, str, int]]) -> str:
+def _ratio(m: Mapping[str, int]) -> float:
+    """How much more common the original is than the form: by distinct texts, and by rows where the texts don't speak for the form."""
+    texts = m["d_orig"] / m["d_form"]
+    return max(texts, m["n_orig"] / m["n_form"]) if texts >= 1 else texts
+
+
+def _restored(token: str, found: Sequence[tuple[str, str, tuple[int, int]]]) -> str:
     """The token with forms put back, longest first, the more common original where there are several."""
-    best: dict[str, tuple[int, str]] = {}
+    best: dict[str, tuple[tuple[int, int], str]] = {}
     for form, orig, n in found:
         if form not in best or n > best[form][0]:
             best[form] = (n, orig)
@@ -219,7 +226,7 @@ def _garbled(units: pd.Series) -> pd.Series:
 def _judge(tokens: pd.Series, found: pd.Series) -> pd.DataFrame:
     rows = []
     for token, matches in zip(tokens, found):
-        kept = [(m["form"], m["orig"], m["n_orig"], s, m["chain"]) for m in matches if (s := _strength(m["form"], m["orig"], token, m["n_form"], m["n_orig"], m["chain"]))]
+        kept = [(m["form"], m["orig"], (m["d_orig"], m["n_orig"]), s, m["chain"]) for m in matches if (s := _strength(m["form"], m["orig"], token, _ratio(m), m["chain"]))]
         top = max(kept, key=lambda k: (k[3], len(k[0])), default=None)
         rows.append((top[3] if top else 0, top[4] if top else None, _restored(token, [k[:3] for k in kept]) if top else token))
     return pd.DataFrame(rows, columns=["strength", "chain", "restored"])
@@ -233,17 +240,21 @@ def _values(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 def garbled_tokens(values: DataFrame) -> DataFrame:
     """(token, strength, chain, restored) of the distinct garbled tokens in ``values`` (column text)."""
-    tokens = values.select(F.explode(F.array_distinct(F.split("text", SPACE))).alias("token")).filter(F.col("token").rlike("[^\\x00-\\x7F]"))
+    tokens = values.select(F.xxhash64("text").alias("text_id"), F.explode(F.array_distinct(F.split("text", SPACE))).alias("token")).filter(F.col("token").rlike("[^\\x00-\\x7F]"))
+    # n counts rows, d distinct texts; both are aggregated within map tasks first.
+    per_text = tokens.groupBy("token", "text_id").agg(F.count(F.lit(1)).alias("n"))
     # The vocabulary and its units are small in bytes but heavy per row, so they are spread over all cores by hand.
     cores = values.sparkSession.sparkContext.defaultParallelism
-    vocabulary = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).repartition(2 * cores, F.xxhash64("token")))
-    units = vocabulary.select(F.explode(_clean_units("token")).alias("orig"), "n").groupBy("orig").agg(F.sum("n").alias("n_orig")).repartition(2 * cores, F.xxhash64("orig"))
-    forms = units.select("orig", "n_orig", F.explode(_garbled("orig")).alias("g")).groupBy(F.col("g.form").alias("form")).agg(F.max(F.struct("n_orig", F.length("orig").alias("length"), "orig", F.col("g.chain").alias("chain"))).alias("o"))
-    parts = vocabulary.select("token", "n", F.explode(_lookup_units("token")).alias("form"))
+    vocabulary = cut(per_text.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).repartition(2 * cores, F.xxhash64("token")))
+    units = vocabulary.select(F.explode(_clean_units("token")).alias("orig"), "n", "d").groupBy("orig").agg(F.sum("n").alias("n_orig"), F.sum("d").alias("d_orig")).repartition(2 * cores, F.xxhash64("orig"))
+    garbled = units.select("orig", "n_orig", "d_orig", F.length("orig").alias("length"), F.explode(_garbled("orig")).alias("g")).select(F.col("g.form").alias("form"), F.struct("orig", "n_orig", "d_orig", "g.chain").alias("o"), "n_orig", "d_orig", "length", "orig", "g.chain")
+    # The most common original of a form, by rows and by distinct texts.
+    forms = garbled.groupBy("form").agg(F.array_distinct(F.array(F.max_by("o", F.struct("n_orig", "length", "orig", "chain")), F.max_by("o", F.struct("d_orig", "length", "orig", "chain")))).alias("os"))
+    parts = vocabulary.select("token", "n", "d", F.explode(_lookup_units("token")).alias("form"))
     matched = cut(parts.join(forms, "form"))
-    n_form = matched.groupBy("form").agg(F.sum("n").alias("n_form"))
-    full = matched.join(n_form, "form")
-    per_token = full.groupBy("token").agg(F.collect_list(F.struct("form", F.col("o.orig").alias("orig"), F.col("o.n_orig").alias("n_orig"), F.col("o.chain").alias("chain"), "n_form")).alias("found"))
+    n_form = matched.groupBy("form").agg(F.sum("n").alias("n_form"), F.sum("d").alias("d_form"))
+    full = matched.join(n_form, "form").withColumn("o", F.explode("os"))
+    per_token = full.groupBy("token").agg(F.collect_list(F.struct("form", "o.orig", "o.n_orig", "o.d_orig", "o.chain", "n_form", "d_form")).alias("found"))
     judged = per_token.withColumn("j", _judge("token", "found")).select("token", "j.strength", "j.chain", "j.restored")
     return cut(judged.filter("strength > 0"))
 

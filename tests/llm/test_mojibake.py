@@ -46,6 +46,19 @@ def test_find_and_restore(spark):
     assert back[200] == "Grünwede" and back[201] == "Møllevik" and back[202] == "発熱と頭痛"
 
 
+def test_copies_weigh_nothing(spark):
+    bad = garble("événement", "cp1252", "mac_roman")
+    clean = [(i, f"Un événement rare, cas {i}") for i in range(6)]
+    # A garbled title in a third of the rows; one garbled copy of a title that is repeated 40 times.
+    hot = [(100 + i, f"Un {bad} rare") for i in range(60)] + [(200 + i, f"Texte {i}") for i in range(60)]
+    again = [(300 + i, "Méthode générale") for i in range(40)] + [(400, garble("Méthode", "cp1252", "mac_roman") + " générale")]
+    df = spark.createDataFrame(clean + hot + again, "id long, a string")
+    expected = {*range(100, 160), 400}
+    assert {r["id"] for r in find_garbled(df, "id", ("a",)).collect()} == expected
+    back = {r["id"]: r["restored"] for r in restore_garbled(df, "id", ("a",)).collect()}
+    assert back == {k: "Un événement rare" for k in range(100, 160)} | {400: "Méthode générale"}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, a string")
     assert find_garbled(df, "id", ("a",)).count() == 0 and restore_garbled(df, "id", ("a",)).count() == 0
