@@ -1,6 +1,6 @@
 """Annotators give entity spans, words of sex and neutral words of a text.
 
-``RuleAnnotator`` is native: gazetteers and cue patterns as regular expressions. It stands in for a
+``RuleAnnotator`` is native: cue patterns as regular expressions, no gazetteer. It stands in for a
 statistical model and finds less than one; ``PandasAnnotator`` takes any function from texts to
 entities, such as one that runs a language model, once per Arrow batch.
 """
@@ -22,6 +22,20 @@ from casemill.operators.spans import SPANS, no_spans, regex_spans
 #: Entity labels and the mask types they become.
 LABELS = {"PERSON": "NAME", "DATE": "DATE", "GPE": "LOCATION", "LOC": "LOCATION", "FAC": "LOCATION", "ORG": "ORGANIZATION"}
 _CAP = r"\p{Lu}[\p{L}'’-]+"
+_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|January|February|March|April|June|July|August|September|October|November|December)\b\.?"
+_INSTITUTION = r"(?:Hospital|Clinic|Centre|Center|Infirmary|Institute|Laboratory|Service|Sygehus|University|Clinique|Klinikum|Klinik|Hôpital|Clínica|Ospedale|Krankenhaus|Department|Ministry)"
+#: Not a place or person: months, institutions, titles.
+_OTHER = rf"(?!{_MONTH}|(?:{_CAP}\s){{0,4}}{_INSTITUTION}\b|(?:Dr|Ms|Mr|Mrs|Prof)\b)"
+#: What stands before a place.
+_PLACE_CUES = "from|visited|visiting|toured|near|outside|contacts in|Contacts in|lives in|lived in|living in|resides in|resided in|stayed in|born in|worked in|travelled to|traveled to|travelling to|traveling to|moved to|returned to|returning to|resident of|residents of|village of|town of|city of|district of|province of|region of"
+_PLACE = rf"{_CAP}(?:\s{_CAP}){{0,2}}"
+_INITIAL, _PARTICLE = r"\p{Lu}\.", r"(?:de|del|della|la|le|van|der|den|von|zu|ten|dos|da|di|al|el|bin)"
+_FULL_NAME = rf"(?:{_CAP}|{_INITIAL})(?:\s(?:{_CAP}|{_INITIAL}|{_PARTICLE})){{0,4}}?(?:\s{_CAP})+"
+#: What stands before the full name of a person who has no title.
+_PERSON_CUES = (
+    r"courtesy of|belongs to|belonged to|kept by|written by|signed by|given by|taken by|reported by|seen by|lists|labelled|labeled|named|called|of kin:|According to|according to|atient,|neighbour,|neighbor,|"
+    r"person|nterview with|brother|sister|aunt|uncle|mother|father|son|daughter|wife|husband|cousin|friend|partner|the night|Signed:|Correspondence:|Prof\.|Author:|Contact:|stand,[\"”]"
+)
 
 
 class Annotator(Protocol):
@@ -36,7 +50,11 @@ class RuleAnnotator:
     rules: Sequence[tuple[str, str]] = field(
         default=(
             ("PERSON", rf"(?-i:(?<=\b(?:Dr|Ms|Mr|Mrs)\s)|(?<=\bProf\.\s)){_CAP}(?-i:\s\p{{Lu}}\.)?(?:\s(?:de|la|van|der|von|ten|dos|di)){{0,2}}\s{_CAP}"),
-            ("ORG", rf"(?-i:\b(?:{_CAP}\s){{1,3}}(?:Hospital|Clinic|Centre|Infirmary|Institute|Laboratory|Service|Sygehus)(?:\s(?:of|de)\s{_CAP})?)"),
+            ("PERSON", rf"(?-i:(?=\p{{Lu}})(?<=\b(?:{_PERSON_CUES})\s){_OTHER}{_FULL_NAME})"),
+            ("GPE", rf"(?-i:(?=\p{{Lu}})(?<=\b(?:{_PLACE_CUES})\s){_OTHER}{_PLACE}(?![\p{{L}}\d@]|\.\p{{L}}))"),
+            ("DATE", rf"(?-i:(?=[\p{{Lu}}\d])(?:\b{_MONTH}\s\d{{1,2}}(?:st|nd|rd|th)?\b|\b\d{{1,2}}(?:st|nd|rd|th)?\s{_MONTH}|\b{_MONTH},?\s\d{{4}}\b))"),
+            ("ORG", rf"(?-i:(?=[CKHO])\b(?:Clinique|Klinikum|Klinik|Hospital|Hôpital|Clínica|Ospedale|Krankenhaus)(?:\s{_CAP})?(?:\s(?:de|des|du|del|della|la|le|les|San|Santa)){{0,2}}\s{_CAP})"),
+            ("ORG", rf"(?-i:\b(?:St\.\s)?(?:{_CAP}\s){{1,3}}(?:Hospital|Clinic|Centre|Infirmary|Institute|Laboratory|Service|Sygehus)(?:\s(?:of|de)\s{_CAP})?)"),
         )
     )
 

@@ -54,6 +54,18 @@ def test_masked_text_round_trip_and_partition_independence(spark):
         assert out == text
 
 
+def test_default_annotator_finds_places_persons_and_dates(spark):
+    text = "A man from São Marelo had visited Port-Aubrac on May 4. Contacts in Kivuto were well in March 2015. According to Ewa T. Hedrosa he was sent to Klinikum Grünwede; mail from PELLANDRA.X@a.example, a letter from Haldorp Clinic in May."
+    df = spark.createDataFrame([(1, text)], "source_row_id long, `Case presentation EN` string")
+    for version in (2, 3):
+        row = masked_dataset(df, config=MaskingConfig(version=version, mask_low_risk_wording=False, mask_sex=False)).first()
+        got = list(zip(row["mask_types"].split("; "), row["masked_tokens"].split("; ")))
+        assert got == [
+            ("LOCATION", "São Marelo"), ("LOCATION", "Port-Aubrac"), ("DATE", "May 4"), ("LOCATION", "Kivuto"), ("DATE", "March 2015"),
+            ("NAME", "Ewa T. Hedrosa"), ("ORGANIZATION", "Klinikum Grünwede"), ("ORGANIZATION", "Haldorp Clinic"),
+        ]
+
+
 def test_golden_row(spark):
     df = spark.createDataFrame([(1, TEXTS[0])], "source_row_id long, `Case presentation EN` string")
     row = masked_dataset(df, config=MaskingConfig(annotator=PLAIN, mask_low_risk_wording=False)).first()
