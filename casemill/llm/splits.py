@@ -23,7 +23,7 @@ from casemill.session import cut
 
 #: A key that holds more than one in HOT of all rows is hot; there are fewer than HOT such keys, so they are broadcast.
 HOT = 256
-#: Sums are kept in this many units at most; beyond it one unit stands for several rows.
+#: Sums are kept in this many units at most; beyond it large components are chosen in coarser units before the rest is chosen in rows.
 SUM_UNITS = 1 << 22
 _KIND = 1 << 60
 #: Full-width digits and what may stand between digits of a number, as fixed values.
@@ -115,50 +115,81 @@ def tie_articles(variants: DataFrame, entity: str = "source_row_id", article: st
     return joined.withColumnRenamed("root", "component").withColumn("article", F.when(F.col("component") < F.lit(_KIND), F.concat(F.lit("PMC"), F.col("component").cast("string")))).drop("node")
 
 
+def _closest(sizes: Mapping[int, int], goal: int, scale: int = 1, fill: int = 0) -> dict[int, int]:
+    """How many components of each size make up the reachable sum (in units of ``scale`` rows) closest to ``goal``; up to ``fill`` units below it are as good."""
+    # Largest sizes first: each may only be used while it fits near the goal.
+    items: list[tuple[int, int, int]] = []
+    for size, count in sorted(sizes.items(), reverse=True):
+        weight = max(1, round(size / scale))
+        most, bundle = min(count, (2 * goal) // weight + 1), 1
+        while most > 0:
+            take = min(bundle, most)
+            items.append((size, take, weight * take))
+            most -= take
+            bundle *= 2
+    limit = 2 * goal + 1
+    mask = (1 << (limit + 1)) - 1
+    reach, first = 1, np.full(limit + 1, -1, dtype=np.int32)
+    for i, (_, _, weight) in enumerate(items):
+        if weight > limit:
+            continue
+        new = (reach << weight) & mask & ~reach
+        if new:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: limit + 1]
+            first[bits.astype(bool)] = i
+            reach |= new
+        if (reach >> goal) & 1:
+            break
+    sums = np.concatenate([[0], np.nonzero(first >= 0)[0]])
+    off = np.where(sums > goal, sums - goal, np.maximum(0, goal - fill - sums))
+    best = int(sums[np.lexsort((np.abs(sums - goal), off))[0]])
+    taken: dict[int, int] = {}
+    while best > 0:
+        size, take, weight = items[first[best]]
+        taken[size] = taken.get(size, 0) + take
+        best -= weight
+    return taken
+
+
 def choose_counts(sizes: Mapping[int, int], shares: Sequence[float], units: int = SUM_UNITS) -> list[dict[int, int]]:
     """How many components of each size go to each split, the first split taking what the others leave.
 
     ``sizes`` maps a component size to its multiplicity. For the later splits, in order, a bitset over
     sums (multiplicities split into binary bundles) finds the reachable total closest to the split's
-    share of all rows. With more than ``units`` rows one unit stands for several rows (rounded).
+    share of all rows. With more than ``units`` rows large components are first chosen in units of
+    several rows, and the remainder is then closed in true rows.
     """
     left = dict(sizes)
     total = sum(s * m for s, m in sizes.items())
     scale = max(1, -(-total // units))
     out: list[dict[int, int]] = [{} for _ in shares]
+
+    def move(k: int, size: int, n: int) -> None:
+        out[k][size] = out[k].get(size, 0) + n
+        left[size] -= n
+
     for k in range(1, len(shares)):
-        target = shares[k] / sum(shares) * total
-        goal = round(target / scale)
-        # Largest sizes first: each may only be used while it fits near the goal.
-        items: list[tuple[int, int, int]] = []
-        for size, count in sorted(left.items(), reverse=True):
-            weight = max(1, round(size / scale))
-            most, bundle = min(count, (2 * goal) // weight + 1), 1
-            while most > 0:
-                take = min(bundle, most)
-                items.append((size, take, weight * take))
-                most -= take
-                bundle *= 2
-        limit = 2 * goal + 1
-        mask = (1 << (limit + 1)) - 1
-        reach, first = 1, np.full(limit + 1, -1, dtype=np.int32)
-        for i, (_, _, weight) in enumerate(items):
-            if weight > limit:
-                continue
-            new = (reach << weight) & mask & ~reach
-            if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: limit + 1]
-                first[bits.astype(bool)] = i
-                reach |= new
-            if (reach >> goal) & 1:
-                break
-        sums = np.concatenate([[0], np.nonzero(first >= 0)[0]])
-        best = int(sums[np.argmin(np.abs(sums - goal))])
-        while best > 0:
-            size, take, weight = items[first[best]]
-            out[k][size] = out[k].get(size, 0) + take
-            left[size] -= take
-            best -= weight
+        goal = round(shares[k] / sum(shares) * total)
+        if scale > 1:
+            # Coarse: components of at least a unit, leaving what smaller ones can fill.
+            large = {s: m for s, m in left.items() if s >= scale}
+            small = sum(s * m for s, m in left.items() if s < scale)
+            for size, n in _closest(large, round(goal / scale), scale, small // scale).items():
+                move(k, size, n)
+            # Fill by true sizes, then give back some small ones to leave a gap that exact sums can close.
+            goal -= sum(s * n for s, n in out[k].items())
+            for size in sorted(left, reverse=True):
+                if n := min(left[size], max(0, goal) // size):
+                    move(k, size, n)
+                    goal -= size * n
+            gap = max(1, units // 4)
+            for size in sorted(s for s in out[k] if s <= gap):
+                if n := min(out[k][size], max(0, -(-(gap - goal) // size))):
+                    move(k, size, -n)
+                    goal += size * n
+        for size, n in _closest(left, max(0, goal)).items():
+            move(k, size, n)
+        out[k] = {s: n for s, n in out[k].items() if n}
     out[0] = {s: m for s, m in left.items() if m}
     return out
 

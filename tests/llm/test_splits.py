@@ -84,6 +84,16 @@ def test_scaled_sums_keep_all_components():
     assert Counter({s: sum(c.get(s, 0) for c in counts) for s in sizes}) == Counter(sizes)
 
 
+@pytest.mark.parametrize("sizes", [{3: 20_000_000}, {1: 9_000_000, 2: 4_000_000, 5: 900_000, 23: 40_000, 3000: 700, 900_000: 7}, {22: 3_000_000}, {6_000_000: 1, 5_000_000: 2, 84_000_000: 1}])
+def test_large_inputs_meet_the_shares(sizes):
+    total = sum(s * n for s, n in sizes.items())
+    counts = choose_counts(sizes, [0.8, 0.1, 0.1])
+    assert Counter({s: sum(c.get(s, 0) for c in counts) for s in sizes}) == Counter(sizes)
+    assert all(n >= 0 for c in counts for n in c.values())
+    got = sum(s * n for s, n in counts[1].items())
+    assert abs(got - 0.1 * total) <= min(sizes) or got == 10_000_000
+
+
 def test_tied_rows_share_a_split(spark):
     rng = random.Random(5)
     rows = [(rng.randint(1, 400), v, f"PMC{40000000 + rng.randint(1, 300)}", None, "x") for v in range(2000)] + [(None, 1, None, None, "x")]
