@@ -207,9 +207,13 @@ class ItemIndex:
             if not ties or words >= whole:
                 found.append((self.ids[best_item], words, lo, hi))
                 found += [(self.ids[k], *known[k][1:4]) for k in ties if known[k][1] >= len(self.starts[k]) - 2]
+            claimed = np.zeros(len(flat), dtype=bool)
             for a, b in pieces:
-                free[a:b] = False
-            known = {k: got for k, got in known.items() if k != best_item and k not in ties and (got is None or got[3] <= lo or got[2] >= hi)}
+                claimed[a:b] = True
+            free &= ~claimed
+            # What used claimed places is searched again, found or not.
+            stays = lambda k, got: got[3] <= lo or got[2] >= hi if got else not claimed[doc[by_item[bounds[k] : bounds[k + 1]]]].any()
+            known = {k: got for k, got in known.items() if k != best_item and k not in ties and stays(k, got)}
 
     def _passage(self, k: int, flat: str, doc: np.ndarray, place: np.ndarray, free: np.ndarray) -> tuple[int, int, int, int, tuple] | None:
         """(matched characters, words, from, to, places) of the best passage of item ``k`` on free places."""
@@ -271,26 +275,32 @@ class ItemIndex:
                 score = best[i] + own - overlap - cost
                 if score > best[j]:
                     best[j], prev[j], edits[j] = score, i, edits[i] + cost
+        # All chain ends in order of score, as far as the first that passes and its equals.
+        matched, first = [0] * n, list(range(n))
+        for j in range(n):
+            i = prev[j]
+            matched[j] = blocks[j][1] - blocks[j][0] + 1 + (matched[i] if i >= 0 else 0)
+            if i >= 0:
+                first[j] = first[i]
         found = None
-        for j in sorted(range(n), key=lambda j: -best[j])[:12]:
-            i, first = j, j
-            matched = 0
-            pieces: list[tuple[int, int]] = []
-            while i >= 0:
-                d0, d1, _ = blocks[i]
-                matched += d1 - d0 + 1
-                if pieces and pieces[-1][0] - d1 <= GAP:
-                    pieces[-1] = (d0, pieces[-1][1])
-                else:
-                    pieces.append((d0, d1 + 1))
-                first = i
-                i = prev[i]
-            a, b = blocks[first][2], blocks[j][2] + blocks[j][1] - blocks[j][0] + 1
-            if matched < (1 - EDIT_SHARE) * 0.6 * (b - a) or edits[j] > EDIT_SHARE * (b - a):
+        for j in sorted(range(n), key=lambda j: -best[j]):
+            if found and best[j] < found[0]:
+                break
+            a, b = blocks[first[j]][2], blocks[j][2] + blocks[j][1] - blocks[j][0] + 1
+            if matched[j] < (1 - EDIT_SHARE) * 0.6 * (b - a) or edits[j] > EDIT_SHARE * (b - a):
                 continue
             words = self.words(k, max(0, a - 1), b)
             if words >= MIN_WORDS:
-                got = (best[j], words, blocks[first][0], blocks[j][1] + 1, tuple(pieces))
+                i = j
+                pieces: list[tuple[int, int]] = []
+                while i >= 0:
+                    d0, d1, _ = blocks[i]
+                    if pieces and pieces[-1][0] - d1 <= GAP:
+                        pieces[-1] = (d0, pieces[-1][1])
+                    else:
+                        pieces.append((d0, d1 + 1))
+                    i = prev[i]
+                got = (best[j], words, blocks[first[j]][0], blocks[j][1] + 1, tuple(pieces))
                 found = got if found is None or got > found else found
         return found
 

@@ -69,6 +69,16 @@ def test_shared_wording_is_no_case():
     assert leaked(index, NOISE + shared + "alpha bravo charlie delta echo " + NOISE) == [1]
 
 
+def test_passage_behind_many_better_fragments():
+    phrase = "extraordinarily complicated haemorrhagic manifestations notwithstanding continuously administered intravenous electrolyte replacement"
+    middle = " whereas neighbouring settlements remained unaffected throughout the monsoon quarter and later "
+    passage = "he was at the ford by six and had a cup of red tea with two men"
+    index = ItemIndex([(1, phrase + middle + passage)])
+    for times in (1, 30):
+        assert leaked(index, (phrase + " qq ") * times + NOISE * 6 + passage + ". " + NOISE) == [1]
+    assert leaked(index, (phrase + " qq ") * 30 + NOISE * 6) == []
+
+
 def test_very_long_document(index):
     assert leaked(index, NOISE * 8000 + A + NOISE * 8000) == [1]
 
