@@ -61,6 +61,8 @@ _STARS = re.compile(r"\b[a-z]\*{2,}[a-z]?|\b[a-z]+\*+[a-z]+")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\n\r]+|\s+…\s+")
 _TOKEN = re.compile(r"[^\W_]+")
+_ALIKE = re.compile("[ıͰ-ԯ]")
+_LATIN_LETTER, _BETWEEN = re.compile("[a-z]"), re.compile(r"[.\-_* ]")
 _JA = re.compile(r"[぀-ヿ一-鿿]")
 #: The word that stands for one with stars in it, and the one that stands for a number.
 STARRED, NUMBER = "starredword", "0"
@@ -72,19 +74,25 @@ FEATURES = (
 )
 
 
+def _class_of(test) -> re.Pattern:
+    """A pattern for the characters of the first plane that pass a test."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if test(chr(c))) + "]")
+
+
+_HIDDEN = _class_of(lambda c: unicodedata.category(c) == "Cf")
+#: Accents that stand alone after decomposition; voicing marks of kana are none.
+_ACCENT = _class_of(lambda c: unicodedata.combining(c) and c not in "\u3099\u309a")
+
+
 def _plain(text: str) -> str:
-    if text.isascii():
-        return text
-    text = unicodedata.normalize("NFKC", text)
-    return "".join(c for c in text if c.isprintable() or c.isspace() or unicodedata.category(c) != "Cf")
+    return text if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
 
 
 def _bare(text: str) -> str:
-    """Without accents; voicing marks of kana stay."""
+    """Without accents."""
     if text.isascii():
         return text
-    bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c) or c in "\u3099\u309a").replace("ß", "ss")
-    return unicodedata.normalize("NFC", bare)
+    return unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFD", text))).replace("ß", "ss")
 
 
 def general_lexicon() -> tuple[dict[str, int], dict[str, int]]:
@@ -114,32 +122,39 @@ def sentences(text: str | None) -> Iterator[Sentence]:
     """The sentences of a text; none for null, empty and blank texts."""
     if not text or text.isspace():
         return
-    for raw in _SENTENCE.split(_plain(text)):
+    plain = _plain(text)
+    whole = plain.lower()
+    ascii_only, starred = whole.isascii(), "*" in whole
+    if not ascii_only:
+        # What hides behind look-alikes and accents is looked for in the undisguised text.
+        whole = _bare(whole.casefold().translate(_HOMOGLYPH) if _ALIKE.search(whole) else whole)
+    spaced, leetish, stretched, japanese = _SPACED.search(whole), _LEETISH.search(whole), _STRETCH.search(whole), not ascii_only and _JA.search(whole)
+    for raw in _SENTENCE.split(plain):
         if not raw or raw.isspace():
             continue
         low = raw.lower()
         s = Sentence(raw, [])
-        ascii_only = low.isascii()
-        if not ascii_only:
+        if not ascii_only and not low.isascii():
             low = low.casefold()
-            swapped = low.translate(_HOMOGLYPH)
-            if swapped != low and re.search("[a-z]", low):
+            if _ALIKE.search(low) and _LATIN_LETTER.search(low):
+                swapped = low.translate(_HOMOGLYPH)
                 s.mixed = sum(a != b for a, b in zip(low, swapped))
                 low = swapped
             low = _bare(low)
-        if "*" in low:
+        if starred:
             low, s.stars = _STARS.subn(f" {STARRED} ", low)
-        for w in _SPACED.findall(low):
-            s.spaced += 1
-            low = low.replace(w, re.sub(r"[.\-_* ]", "", w))
-        if _LEETISH.search(low):
+        if spaced:
+            for w in _SPACED.findall(low):
+                s.spaced += 1
+                low = low.replace(w, _BETWEEN.sub("", w))
+        if leetish and _LEETISH.search(low):
             low, s.leet = _unleeted(low)
-        if _STRETCH.search(low):
+        if stretched:
             low, s.stretch = _STRETCH.subn(r"\1", low)
         words = _TOKEN.findall(low)
-        if not ascii_only and _JA.search(low):
+        if japanese:
             words = [p for w in words for p in (_pieces(w) if _JA.search(w) else (w,))]
-        s.words = words
+        s.words = [NUMBER if w[0] <= "9" and w.isdigit() else w for w in words]
         yield s
 
 
@@ -163,17 +178,12 @@ def _unleeted(low: str) -> tuple[str, int]:
     return _LEET_WORD.sub(word, low), count
 
 
-def _keys(words: Sequence[str]) -> list[str]:
-    return [NUMBER if w.isdigit() else w for w in words]
-
-
 def terms(text: str | None) -> set[str]:
     """The distinct words and word pairs of all sentences of a text."""
     out: set[str] = set()
     for s in sentences(text):
-        keys = _keys(s.words)
-        out.update(keys)
-        out.update(map(" ".join, zip(keys, keys[1:])))
+        out.update(s.words)
+        out.update(map(" ".join, zip(s.words, s.words[1:])))
     return out
 
 
@@ -217,7 +227,7 @@ class Lexicon:
 
     def features(self, text: str | None) -> list[float] | None:
         """The dense features of a document in the order of FEATURES; None for null, empty and blank texts."""
-        get, fix = self.table.get, self.fix
+        get, fix, fixable = self.table.get, self.fix, self.fix.keys()
         nets: list[float] = []
         found_max = top_max = strong_max = lex_max = lex_doc = lex_density = lex_near = 0.0
         kinds_max = [0] * len(KINDS)
@@ -226,34 +236,27 @@ class Lexicon:
         for s in sentences(text):
             words = s.words
             n_words += len(words)
-            keys = _keys(words)
             fixed = 0
-            for i, w in enumerate(keys):
-                if w in fix:
-                    keys[i] = fix[w]
-                    fixed += 1
+            if not fixable.isdisjoint(words):
+                fixed = sum(w in fix for w in words)
+                words = [fix.get(w, w) for w in words]
+            address = [] if _ADDRESS.isdisjoint(words) else [i for i, w in enumerate(words) if w in _ADDRESS]
             found = against = highest = 0.0
-            strong, hits, address, at = 0, [], [], -1
-            kinds = None
-            before = ""
-            for i, w in enumerate(keys):
-                if w in _ADDRESS:
-                    address.append(i)
-                for got in (get(w), get(f"{before} {w}")):
-                    if got is not None:
-                        weight, kind = got
-                        if weight > 0:
-                            found += weight
-                            strong += weight > 1.5
-                            if weight > highest:
-                                highest, at = weight, i
-                        else:
-                            against += weight
-                        if kind >= 0:
-                            kinds = kinds or [0] * len(KINDS)
-                            kinds[kind] += 1
-                            hits.append((i, kind))
-                before = w
+            strong, hits, at, kinds = 0, [], -1, None
+            told = [(i, got) for i, w in enumerate(words) if (got := get(w))]
+            told += [(i, got) for i, pair in enumerate(map(" ".join, zip(words, words[1:])), 1) if (got := get(pair))]
+            for i, (weight, kind) in told:
+                if weight > 0:
+                    found += weight
+                    strong += weight > 1.5
+                    if weight > highest:
+                        highest, at = weight, i
+                else:
+                    against += weight
+                if kind >= 0:
+                    kinds = kinds or [0] * len(KINDS)
+                    kinds[kind] += 1
+                    hits.append((i, kind))
             raw = s.raw
             japanese = False
             if not raw.isascii() and _JA.search(raw):
