@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemill.llm.chars import ACCENT, HIDDEN
 from casemill.session import cut
 
 #: The model is fitted on at most this many rated documents, chosen by the hash of their id.
@@ -74,25 +75,15 @@ FEATURES = (
 )
 
 
-def _class_of(test) -> re.Pattern:
-    """A pattern for the characters of the first plane that pass a test."""
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if test(chr(c))) + "]")
-
-
-_HIDDEN = _class_of(lambda c: unicodedata.category(c) == "Cf")
-#: Accents that stand alone after decomposition; voicing marks of kana are none.
-_ACCENT = _class_of(lambda c: unicodedata.combining(c) and c not in "\u3099\u309a")
-
-
 def _plain(text: str) -> str:
-    return text if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    return text if text.isascii() else HIDDEN.sub("", unicodedata.normalize("NFKC", text))
 
 
 def _bare(text: str) -> str:
     """Without accents."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFD", text))).replace("ß", "ss")
+    return unicodedata.normalize("NFC", ACCENT.sub("", unicodedata.normalize("NFD", text))).replace("ß", "ss")
 
 
 def general_lexicon() -> tuple[dict[str, int], dict[str, int]]:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from casemill.llm.leaks import ItemIndex, find_leaks, normal
+from casemill.llm.leaks import ItemIndex, edit_distance, find_leaks, normal
 
 ITEMS = [
     (1, "At 54 a seamstress in Dol-Amren develops yellow sclerae 35 days after a cave survey. Examiners record yellow sclerae, bradycardia and burning soles at hour 60. Her brother sold pelts near Coquelard until week 52."),
@@ -54,7 +54,7 @@ def test_escaped_json(index):
 
 
 def test_what_is_no_case(index):
-    for text in (NOISE * 20, "Compare “yellow sclerae, bradycardia and burning soles” here. " + NOISE, "Examiners record torpor, bradycardia and", "short item", "", "  ", None, A[:40]):
+    for text in (NOISE * 20, "Compare “yellow sclerae, bradycardia and burning soles” here. " + NOISE, "Examiners record torpor, bradycardia and", "short", "", "  ", None, A[:40]):
         assert leaked(index, text) == []
 
 
@@ -83,6 +83,63 @@ def test_very_long_document(index):
     assert leaked(index, NOISE * 8000 + A + NOISE * 8000) == [1]
 
 
+PIECES = ITEMS[1][1].split()
+FILL = ("Reposting the minutes of the allotment society with its rota and the lending list of the tool shed for members who could not come. " * 4)[:376]
+INTERRUPTED = [" ".join(PIECES[:24][a : a + 6]) for a in range(0, 24, 6)]
+
+
+@pytest.mark.parametrize("size", [1_000, 20_000, 300_000])
+def test_a_passage_is_found_alike_at_every_place_of_documents_of_every_length(index, size):
+    """Four pieces of six words with 376 characters in between: the same words are reported wherever it stands."""
+    passage = f" {FILL} ".join(INTERRUPTED)
+    alone = index.search(["zzz " + passage + " zzz"])[0]
+    assert [i for i, _ in alone] == [2] and alone[0][1] >= 23
+    pad = NOISE * (size // len(NOISE) + 1)
+    texts = [pad[:at] + " zzz " + passage + " zzz " + pad[at:size] for at in range(0, size, max(1, size // 12))]
+    assert [index.search([t])[0] for t in texts] == [alone] * len(texts)
+
+
+def test_slices_of_the_text_do_not_show(index, monkeypatch):
+    from casemill.llm import leaks
+
+    pad = NOISE * 500
+    texts = [pad[:at] + A + pad[at:] + ITEMS[1][1] for at in range(0, len(pad), 3001)]
+    whole = index.search(texts)
+    monkeypatch.setattr(leaks, "CELLS", 1)
+    assert index.search(texts) == whole and all(len(w) == 2 for w in whole)
+
+
+def test_whole_items_count_at_any_length():
+    twelve = "which vector carries the agent of the eastern fever in the delta"
+    index = ItemIndex([(1, twelve), (2, "name the reservoir"), (3, "発熱と頭痛を訴えた患者の渡航歴を確認すべきか"), (4, "ab c")])
+    assert leaked(index, NOISE + twelve + "? " + NOISE) == [1] and leaked(index, " ".join(twelve.split()[:11]) + " " + NOISE) == []
+    assert leaked(index, "Name the reservoir!") == [2] and leaked(index, NOISE + "発熱と頭痛を訴えた患者の渡航歴を確認すべきか。") == [3] and leaked(index, "ab c") == []
+
+
+def test_scattered_edits_within_the_budget(index):
+    words = A.split()[3:20]
+    text = " ".join(words)
+    for i in range(7, len(text), 17):
+        text = text[:i] + "q" + text[i + 1 :]
+    assert leaked(index, NOISE + text + ". " + NOISE) == [1]
+
+
+def test_edit_distance():
+    def plain(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j - 1] + (x != y), prev[j] + 1, row[j - 1] + 1))
+            prev = row
+        return prev[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 70))) for _ in range(2))
+        assert edit_distance(a, b) == plain(a, b)
+
+
 def test_normal_form():
     assert normal("Ünï<b>t</b> \\u00e9 &amp; ＡＢ") == "unit e & ab"
 
