@@ -207,14 +207,15 @@ class ItemIndex:
         searched apart; the better a passage, the earlier it takes its places, and a worse one that wanted some of them is searched again.
         """
         edges = np.nonzero((np.diff(item) != 0) | (np.diff(doc) > INTERRUPTION + Q))[0] + 1
+        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(doc)]])
+        enough = ends - starts >= self.least[item[starts]]
         free = np.ones(len(flat), dtype=bool)
         queue: list[tuple] = []
 
         def offer(k: int, d: np.ndarray, p: np.ndarray) -> None:
             """Into the queue with the characters that the hits cover, which no passage of theirs can exceed."""
             if len(d) >= self.least[k]:
-                steps = np.diff(d)
-                heappush(queue, (-(Q + int(np.minimum(steps, Q).sum())), 0, self.ids[k], int(d[0]), k, None, d, p))
+                heappush(queue, (-(Q + int(np.minimum(d[1:] - d[:-1], Q).sum())), 0, self.ids[k], int(d[0]), k, None, d, p))
 
         def best(least_score: float) -> tuple | None:
             """The best passage in the queue if it scores ``least_score`` or more, out of the queue; what only might be as good is aligned now."""
@@ -230,8 +231,8 @@ class ItemIndex:
                     heappush(queue, (-got[0], -got[1], self.ids[k], got[2], k, got, d, p))
             return None
 
-        for d, k, p in zip(np.split(doc, edges), np.split(item, edges), np.split(place, edges)):
-            offer(int(k[0]), d, p)
+        for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
+            offer(int(item[a]), doc[a:b], place[a:b])
         found: dict[int, int] = {}
         while (top := best(0)) is not None:
             _, _, _, _, k, (score, words, lo, hi, pieces), d, p = top
