@@ -36,10 +36,15 @@ def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restore_garbled(table(spark, folder, CASES), "karte_id", ("Title", CASE_TEXT))
 
 
+def _given_names(spark: SparkSession, folder: str) -> frozenset[str]:
+    return pii.learn_given_names([table(spark, folder, CASES).select(F.col(f"`{CASE_TEXT}`")), table(spark, folder, FILLED).select("filled_text")])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every item of personal information in case texts and filled variants."""
-    cases = pii.find_pii(table(spark, folder, CASES), CASE_TEXT, {"tbl": F.lit(CASES), "row_id": F.col("karte_id"), "variant_id": F.lit(0)})
-    filled = pii.find_pii(table(spark, folder, FILLED), "filled_text", {"tbl": F.lit(FILLED), "row_id": F.col("source_row_id"), "variant_id": F.col("variant_id")})
+    names = _given_names(spark, folder)
+    cases = pii.find_pii(table(spark, folder, CASES), CASE_TEXT, {"tbl": F.lit(CASES), "row_id": F.col("karte_id"), "variant_id": F.lit(0)}, names)
+    filled = pii.find_pii(table(spark, folder, FILLED), "filled_text", {"tbl": F.lit(FILLED), "row_id": F.col("source_row_id"), "variant_id": F.col("variant_id")}, names)
     return cases.unionByName(filled)
 
 
@@ -47,7 +52,7 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The same texts with typed placeholders in place of the items."""
     cases = table(spark, folder, CASES).select(F.lit(CASES).alias("tbl"), F.col("karte_id").alias("row_id"), F.lit(0).alias("variant_id"), F.col(f"`{CASE_TEXT}`").alias("text"))
     filled = table(spark, folder, FILLED).select(F.lit(FILLED).alias("tbl"), F.col("source_row_id").alias("row_id"), "variant_id", F.col("filled_text").alias("text"))
-    return pii.redact_column(cases.unionByName(filled), "text", "redacted").drop("text")
+    return pii.redact_column(cases.unionByName(filled), "text", "redacted", _given_names(spark, folder)).drop("text")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casemill.llm.pii import find_pii, find_spans, luhn, mod97, redact, redact_column
+from casemill.llm.pii import dni, find_pii, find_spans, iban, learn_given_names, luhn, mod11, mod97, redact, redact_column
 
 FOUND = [
     ("Contact person Vesna Quillstone (+44 20 7946 0299).", [("NAME", "Vesna Quillstone"), ("PHONE", "+44 20 7946 0299")]),
@@ -41,6 +41,31 @@ def test_checksums():
     assert mod97(n + f"{97 - int(n) % 97:02d}") and not mod97(n + "00")
 
 
+@pytest.mark.parametrize("text", ["A Kaplan Meier curve of Staphylococcus Aureus by Ziehl Neelsen stain.", "He flew from Sierra Leone to Addis Ababa.", "ID number 4539578763621487.", "The card 4539 5787 6362 1487 was found.", "Key 1 80 05 75 123 456 29 on the lid.", "Pay to GB82 WEST 1234 5698 7654 33."])
+def test_refuted(text):
+    assert find_spans(text) == []
+
+
+@pytest.mark.parametrize("text, value", [("ID number 4539578763621486.", "4539578763621486"), ("IBAN DE89 3704 0044 0532 0130 00 was given", "DE89 3704 0044 0532 0130 00"), ("Pay to GB82WEST12345698765432.", "GB82WEST12345698765432"), ("(ID: 1234567)", "1234567"), ("NIE: X1234567L", "X1234567L"), ("DNI 12345678Z", "12345678Z"), ("Patient-ID: 884123", "884123"), ("NHS number 943 476 5919", "943 476 5919")])
+def test_confirmed_or_labelled(text, value):
+    assert [(s.kind, text[s.start : s.end]) for s in find_spans(text)] == [("ID", value)]
+
+
+def test_check_digits():
+    assert iban("GB82 WEST 1234 5698 7654 32") and not iban("GB82 WEST 1234 5698 7654 33") and dni("12345678Z") and not dni("12345678A") and dni("X1234567L") and mod11("9434765919") and not mod11("9434765918")
+    right, wrong = (next(s.score for s in find_spans(f"NHS number 943 476 591{d}")) for d in "98")
+    assert right > 0.9 > 0.7 > wrong
+
+
+def test_given_names_are_learnt_from_the_corpus(spark):
+    families = ["Ashvale", "Brelle", "Hedrosa", "Tanimori", "Nakaseko", "Quistorp", "Marlow"]
+    texts = [f"Nurse Zorvina {f} saw the patient." for f in families] + ["Nurse Once Ashvale left.", None, ""]
+    names = learn_given_names([spark.createDataFrame([(t,) for t in texts], "t string")])
+    assert "zorvina" in names and "once" not in names and "mary" in names
+    text = "Later Zorvina Oyinlade wrote to Ashvale, Zorvina about Kaplan Meier."
+    assert [text[s.start : s.end] for s in find_spans(text, given_names=names)] == ["Zorvina Oyinlade", "Ashvale, Zorvina"]
+
+
 def test_redaction_keeps_the_rest():
     assert redact("Call Vesna Quillstone on +44 20 7946 0299, please.") == "Call [NAME] on [PHONE], please."
     assert redact(None) is None and redact("") == "" and redact("nothing") == "nothing"
