@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from casemill.operators.nested import MASK_NEST, Level, NestSpec, flatten_nested, nested_keys
+from casemill.operators.nested import CLOSE, LIST, MASK_NEST, OBJECT, Level, NestSpec, flatten_nested, flatten_repeated, members, nested_keys, positions_of, record_triples, repeated_paths, stream
 from casemill.operators.packed import explode_packed, pack, split_packed
 
 CASES = [
@@ -86,3 +86,29 @@ def test_other_nests(spark):
     df = spark.createDataFrame([(1, '{"orders":[{"order_id":5,"lines":[{"sku":"a","qty":2},{"sku":"b"}]}]}')], "id long, j string")
     assert [(r["order_pos"], r["line_pos"], r["sku"], r["qty"]) for r in flatten_nested(df, ["id"], "j", spec)["line"].orderBy("line_pos").collect()] == [(1, 1, "a", "2"), (1, 2, "b", None)]
     assert len(MASK_NEST.levels) == 3
+
+
+def test_no_field_is_lost(spark):
+    record = {"version": 3, "tags": ["a", "b"], "batches": [{"batch": 7, "masks": [{"mask_type": "A", "classification": {"pos": "ADV", "flags": {"protected": True}}, "extra": {"deep": [1, {"x": 2}]}, "candidates": [{"token": "t", "rank": 4, "rejection_reasons": [{"code": 9}]}]}]}]}
+    t = flatten_nested(spark.createDataFrame([(7, json.dumps(record))], "id long, m string"), ["id"], "m")
+    mask = t["mask"].first()
+    assert (mask["classification_pos"], mask["classification_flags_protected"], mask["path"], mask["ordinals"]) == ("ADV", "true", "batches[].masks[]", [1, 1]) and mask["more"] == {"extra.deep[]": "[1]", "extra.deep[].x": "[2]"}
+    assert t["candidate"].first()["more"] == {"rank": "4"} and t["reason"].first()["more"] == {"code": "9"}
+    assert {(r["path"], tuple(r["ordinals"]), tuple(sorted(r["more"].items()))) for r in t["envelope"].collect()} == {("", (), (("version", "3"),)), ("tags[]", (1,), (("value", "a"),)), ("tags[]", (2,), (("value", "b"),)), ("batches[]", (1,), (("batch", "7"),))}
+
+
+def test_repeated_ancestors_are_found_in_the_data(spark):
+    df = spark.createDataFrame([(1, '{"o":[{"n":5,"l":[{"sku":"a","q":2},{"sku":"b"}]}]}'), (2, '{"o":[],"id":"z"}'), (3, "{"), (4, None)], "id long, j string")
+    assert {(r["ancestor"], r["field"], r["members"]) for r in repeated_paths(df, "j").collect()} == {("", None, 1), ("", "id", 1), ("o[]", "n", 1), ("o[].l[]", "sku", 2), ("o[].l[]", "q", 1)}
+    t = flatten_repeated(df, ["id"], "j")
+    assert sorted(t) == ["", "o[]", "o[].l[]"] and [tuple(r) for r in t[""].orderBy("id").collect()] == [(1, [], None), (2, [], "z")]
+    assert [tuple(r) for r in t["o[].l[]"].orderBy("ordinals").collect()] == [(1, [1, 1], "2", "a"), (1, [1, 2], None, "b")]
+    assert flatten_repeated(df.limit(0), ["id"], "j") == {}
+
+
+def test_stream_takes_what_is_complete_and_nothing_else():
+    good = ["[]", "{}", " [1, -2.5e3 ,null,true,{\"a\":[[]]}] ", '"x"', "0", '{"a":"\\u00e9\\n"}', "[NaN,-Infinity]", "[" * 50_000 + "1" + "]" * 50_000]
+    bad = ["", " ", "[", "[1,]", "{,}", '{"a"}', '{"a":1,}', "[1 2]", "01", "[1]x", "tru", "nullx", '"a', '"\\x"', "{1:2}", "]", "[}", "1.", "[" * 50_000]
+    assert [t[:9] for t in good if record_triples(t) is None and not t.startswith(('"', "0"))] == [] and [t[:9] for t in bad if record_triples(t) is not None] == []
+    assert [(p.text, positions_of(o), v) for p, o, v in stream('{"a":[{"b":1},2]}')] == [("", (), OBJECT), ("a", (), LIST), ("a[]", (1,), OBJECT), ("a[].b", (1,), 1), ("a[]", (1,), CLOSE), ("a[]", (2,), 2), ("a", (), CLOSE), ("", (), CLOSE)]
+    assert len(list(members(good[-1]))) == 1
