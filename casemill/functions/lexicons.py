@@ -66,3 +66,6 @@ PROTECTION_POLICY = "medical terms, negation, severity, temporality, polarity, a
 #: Strings that stand for a missing value in delimited files.
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SENSITIVE_TERMS = tuple(sorted({*NEGATION_TERMS, *SEVERITY_TERMS, *TEMPORALITY_TERMS, *OUTCOME_TERMS, *POLARITY_TERMS, *MEDICAL_TERMS}))
+
+#: Names of how neutral words are filled, and the name of the model they are given under; fixed values.
+METHOD_MODEL, METHOD_FILTERED, METHOD_FALLBACK = "bio_clinicalbert_low_risk_wording", "bio_clinicalbert_filtered", "fallback_restore_original"

@@ -59,11 +59,45 @@ def single_mask_context(text: Column, start: Column, window: int = CONTEXT) -> C
     return F.concat(left, F.lit(L.MASK), right)
 
 
-def model_candidates(context: Column, predict: Callable[[Sequence[str]], Sequence[Sequence[tuple[str, float]]]], k: int = 8) -> Column:
-    """Candidates by a model: ``predict`` takes contexts with one mask and gives ranked (token, score) lists."""
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("score", T.DoubleType())])))
-    def run(contexts: pd.Series) -> pd.Series:
-        return pd.Series([[{"token": t, "score": float(s)} for t, s in found[:k]] for found in predict([c if isinstance(c, str) else "" for c in contexts])], dtype=object)
+def model_candidates(context: Column, predict: Callable[[Sequence[str]], Sequence[Sequence[tuple[str, float]]]], k: int = 8, max_words: int = 512) -> Column:
+    """``struct<candidates, error>`` by a model: ``predict`` takes contexts with one mask and gives ranked (token, score) lists.
+
+    Contexts are cut to ``max_words`` words around their mask, as models read no more. A context without
+    exactly one mask is an error, as is whatever ``predict`` raises: a batch that fails is asked row by row,
+    so one bad row costs only itself. Null contexts have no candidates and no error.
+    """
+
+    def around(text: str) -> str:
+        if text.count(L.MASK) != 1:
+            raise ValueError(f"expected exactly one mask, found {text.count(L.MASK)}")
+        left, right = (side.split() for side in text.split(L.MASK))
+        if len(left) + len(right) < max_words:
+            return text
+        before = min(len(left), max(max_words // 2, max_words - 1 - len(right)))
+        return " ".join([*left[len(left) - before :], L.MASK, *right[: max_words - 1 - before]])
+
+    def ranked(found: Sequence[tuple[str, float]]) -> list[dict]:
+        return [{"token": t.strip(), "score": float(s)} for t, s in sorted(found, key=lambda x: -x[1])[:k]]
+
+    @F.pandas_udf(T.StructType([T.StructField("candidates", T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("score", T.DoubleType())]))), T.StructField("error", T.StringType())]))
+    def run(contexts: pd.Series) -> pd.DataFrame:
+        out: list[tuple[list | None, str | None]] = [([], None)] * len(contexts)
+        asked: list[tuple[int, str]] = []
+        for i, c in enumerate(contexts):
+            try:
+                if isinstance(c, str):
+                    asked.append((i, around(c)))
+            except ValueError as bad:
+                out[i] = (None, str(bad))
+        try:
+            for (i, _), found in zip(asked, predict([c for _, c in asked]), strict=True):
+                out[i] = (ranked(found), None)
+        except Exception:
+            for i, c in asked:
+                try:
+                    out[i] = (ranked(predict([c])[0]), None)
+                except Exception as bad:
+                    out[i] = (None, str(bad) or type(bad).__name__)
+        return pd.DataFrame(out, columns=["candidates", "error"])
 
     return run(context)

@@ -6,6 +6,7 @@ the array of masks; neutral words come from ranked candidates that pass the safe
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,7 @@ class FillingConfig:
     max_masks: int | None = None
     top_k: int = 8
     seed: int = SEED
+    model_name: str = "corpus-ranking"
 
     def __post_init__(self) -> None:
         if self.date_shift_min > self.date_shift_max or self.date_shift_min < 0:
@@ -122,39 +124,50 @@ def rule_replacement(m: Column, key: Column, variant: Column, days: Column, conf
     return replacement, method
 
 
+def classification(m: Column) -> Column:
+    """What is known of a neutral word: word class, lemma, entity type and the safety flags, missing ones empty or false."""
+    texts = [F.coalesce(m[f], F.lit("")).alias(f) for f in ("pos", "lemma", "entity_type")]
+    return F.struct(*texts, *[F.coalesce(m[f], F.lit(False)).alias(f) for f in _BOOLS])
+
+
 def fill_details(masks: Column, key: Column, variant: Column, days: Column, candidates: Column, config: FillingConfig) -> Column:
-    """One struct per mask: number, type, original, replacement, method, constraint, shift, issue, checked candidates."""
+    """One struct per mask: number, type, original, replacement, method, constraint, shift, and for neutral words
+    their classification, the checked candidates and the issues. A mask without a type is a neutral word; a type
+    that is unknown takes the raw candidate of its rank, without a check."""
+    empty = F.array().cast("array<struct<token:string,score:double,normalized_token:string,accepted:boolean,rejection_reasons:array<string>>>")
 
     def one(m: Column) -> Column:
+        kind_ = F.coalesce(m["mask_type"], F.lit("LOW_RISK_WORDING"))
         replacement, method = rule_replacement(m, key, variant, days, config)
         protected = F.lit(False)
         for flag in _BOOLS:
             protected = protected | F.coalesce(m[flag], F.lit(False))
         rank = (variant - 1).cast("int")
         top = F.slice(candidates, 1, config.top_k)
-        neutral = m["mask_type"] == "LOW_RISK_WORDING"
-        ruled = m["mask_type"].isin(*[t for t in L.MASK_TYPES if t != "LOW_RISK_WORDING"])
-        raw = F.coalesce(F.get(top, F.least(rank, F.size(top) - 1))["token"], m["original_value"], F.lit(""))
-        empty = F.array().cast("array<struct<token:string,score:double,normalized_token:string,accepted:boolean,rejection_reasons:array<string>>>")
+        neutral = kind_ == "LOW_RISK_WORDING"
+        ruled = kind_.isin(*[t for t in L.MASK_TYPES if t != "LOW_RISK_WORDING"])
+        original = F.coalesce(m["original_value"], F.lit(""))
+
+        def detail(got: Column) -> Column:
+            return F.struct(
+                F.coalesce(m["mask_index"], F.lit(0)).alias("mask_index"),
+                kind_.alias("mask_type"),
+                original.alias("original_value"),
+                got["replacement"].alias("replacement"),
+                got["method"].alias("method"),
+                F.coalesce(m["constraint_rule"], F.lit("")).alias("constraint_rule"),
+                F.when(neutral & F.lit(config.version >= 4), classification(m)).alias("classification"),
+                F.when(kind_ == "DATE", days).alias("date_shift_days"),
+                F.when(got["fallback"], F.array(F.lit("no_candidate_satisfied_constraints"))).otherwise(F.array().cast("array<string>")).alias("validation_issues"),
+                got["checked"].alias("candidates"),
+            )
+
+        plain = lambda value, how: F.struct(value.alias("replacement"), how.alias("method"), F.lit(False).alias("fallback"), empty.alias("checked"))
+        raw = F.coalesce(F.get(top, F.least(rank, F.size(top) - 1))["token"], original)
+        chosen = F.when(ruled, plain(replacement, method))
         if config.version >= 4:
-            safe = safety.select_safe(top, F.coalesce(m["original_value"], F.lit("")), m["pos"], protected, rank)
-            word = F.when(neutral, safe["replacement"]).otherwise(raw)
-            how = F.when(neutral, safe["method"]).otherwise("model_low_risk_wording")
-            issue = F.when(neutral & safe["fallback"], "no_candidate_satisfied_constraints")
-            checked = F.when(neutral, safe["checked"]).otherwise(empty)
-        else:
-            word, how, issue, checked = raw, F.lit("model_low_risk_wording"), F.lit(None).cast("string"), empty
-        return F.struct(
-            F.coalesce(m["mask_index"], F.lit(0)).alias("mask_index"),
-            m["mask_type"].alias("mask_type"),
-            F.coalesce(m["original_value"], F.lit("")).alias("original_value"),
-            F.when(ruled, replacement).otherwise(word).alias("replacement"),
-            F.when(ruled, method).otherwise(how).alias("method"),
-            m["constraint_rule"].alias("constraint_rule"),
-            F.when(m["mask_type"] == "DATE", days).alias("date_shift_days"),
-            issue.alias("issue"),
-            checked.alias("candidates"),
-        )
+            chosen = chosen.when(neutral, safety.select_safe(top, original, m["pos"], protected, rank))
+        return bind(chosen.otherwise(plain(raw, F.lit(L.METHOD_MODEL))), detail)
 
     return F.transform(masks, one)
 
@@ -212,12 +225,13 @@ def with_variants(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("variant_id", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("augmentation_factor", F.lit(n))
 
 
-def fill(masked: DataFrame, candidates: Column | None = None, key: str = "source_row_id", config: FillingConfig = FillingConfig()) -> DataFrame:
+def fill(masked: DataFrame, candidates: Column | None = None, key: str = "source_row_id", config: FillingConfig = FillingConfig(), error: Column | None = None) -> DataFrame:
     """Variants of a masked dataset with the filled text and how each mask was filled.
 
     Null texts count as empty and stay; masks without metadata are taken for neutral words. The metadata
     is parsed and sorted once per row, before the variants are made. ``candidates`` is a column of ranked
-    words (``array<struct<token, score>>``); without it every neutral word falls back to its original.
+    words (``array<struct<token, score>>``); without it every neutral word falls back to its original. Where the
+    column ``error`` is not null the row has status error, keeps its masked text and has no details.
     """
     text = F.coalesce(F.col("masked_text"), F.lit(""))
     raw = F.coalesce(F.col("mask_metadata"), F.lit("[]")) if "mask_metadata" in masked.columns else F.lit("[]")
@@ -233,12 +247,20 @@ def fill(masked: DataFrame, candidates: Column | None = None, key: str = "source
     filled = detailed.withColumn("details", cut).withColumn("filled_text", F.when(blank, F.col("masked_text")).otherwise(assembled(F.col("masked_text"), F.transform("details", lambda d: d["replacement"]))))
     out = filled.withColumn("predicted_tokens", F.array_join(F.transform("details", lambda d: d["replacement"]), "; ")).withColumn("mask_fill_details", F.to_json("details"))
     if config.version >= 4:
-        per_mask = F.transform(F.filter("details", lambda d: d["issue"].isNotNull()), lambda d: F.concat(F.lit("mask_"), d["mask_index"].cast("string"), F.lit(":"), d["issue"]))
+        per_mask = F.flatten(F.transform("details", lambda d: F.transform(d["validation_issues"], lambda x: F.concat(F.lit("mask_"), d["mask_index"].cast("string"), F.lit(":"), x))))
         issues = F.when(blank, F.array().cast("array<string>")).otherwise(validation_issues(F.col("masked_text"), F.col("filled_text"), F.size("_masks"), per_mask))
         out = out.withColumn("_issues", issues).withColumn("fill_status", fill_status(F.col("masked_text"), F.col("filled_text"), F.col("_issues"))).withColumn("validation_issues", F.to_json("_issues"))
         out = out.withColumn("source_mask_metadata", raw).withColumn("enriched_mask_metadata", F.to_json(enriched_policies(F.col("_parsed"), config.change_sex)))
     else:
         out = out.withColumn("fill_status", fill_status(F.col("masked_text"), F.col("filled_text"), None))
-        policy = {"change_sex": config.change_sex, "date_shift_min_days": config.date_shift_min, "date_shift_max_days": config.date_shift_max, "age": "same_category"}
-        out = out.withColumn("constraint_policy", F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in policy.items()])))
-    return out.withColumn("fill_error", F.lit("")).withColumn("model_name", F.lit("corpus-ranking")).withColumn("filling_version", F.lit(f"mask-filling-trial{config.version}")).drop("_parsed", "_masks", "_days", "_all", "_issues", "details")
+        policy = {"CHANGE_SEX": config.change_sex, "DATE_SHIFT_MIN_DAYS": config.date_shift_min, "DATE_SHIFT_MAX_DAYS": config.date_shift_max, "AGE_DELTA_BY_CATEGORY": L.AGE_SPREAD}
+        out = out.withColumn("constraint_policy", F.lit(json.dumps(policy)))
+    if error is not None:
+        # A row that failed keeps its masked text and tells why; the others are not touched.
+        failed = error.isNotNull()
+        out = out.withColumns({
+            "filled_text": F.when(failed, F.col("masked_text")).otherwise(F.col("filled_text")), "predicted_tokens": F.when(failed, "").otherwise(F.col("predicted_tokens")),
+            "mask_fill_details": F.when(failed, "[]").otherwise(F.col("mask_fill_details")), "fill_status": F.when(failed, "error").otherwise(F.col("fill_status")),
+            **({"validation_issues": F.when(failed, "[]").otherwise(F.col("validation_issues"))} if config.version >= 4 else {}),
+        })
+    return out.withColumn("fill_error", F.coalesce(error, F.lit("")) if error is not None else F.lit("")).withColumn("model_name", F.lit(config.model_name)).withColumn("filling_version", F.lit(f"mask-filling-trial{config.version}")).drop("_parsed", "_masks", "_days", "_all", "_issues", "details")

@@ -94,14 +94,17 @@ def metadata(spans: Column, version: int) -> Column:
     return F.transform(spans, enriched)
 
 
-def mask_text(df: DataFrame, text: str, key: str, config: MaskingConfig = MaskingConfig()) -> DataFrame:
-    """``df`` with ``masked_text`` and ``metadata`` (array of structs). Null texts give null in both."""
+def mask_text(df: DataFrame, text: str, key: str, config: MaskingConfig = MaskingConfig(), spans_as: str | None = None) -> DataFrame:
+    """``df`` with ``masked_text`` and ``metadata`` (array of structs). Null texts give null in both.
+
+    ``spans_as`` names a column for the bare spans; what reads only these costs no constraints and flags.
+    """
     if clash := {"masked_text", "metadata", "_taken", "_spans"} & set(df.columns):
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
     value, by = F.col(f"`{text}`"), F.col(f"`{key}`")
     taken = df.withColumn("_taken", resolve(F.concat(regex_candidates(value, config), entity_candidates(value, config))))
     spans = taken.withColumn("_spans", F.array_sort(F.concat(F.col("_taken"), neutral_candidates(value, F.col("_taken"), by, config))))
-    return spans.withColumn("masked_text", splice(value, F.col("_spans"))).withColumn("metadata", metadata(F.col("_spans"), config.version)).drop("_taken", "_spans")
+    return spans.withColumn("masked_text", splice(value, F.col("_spans"))).withColumn("metadata", metadata(F.col("_spans"), config.version)).withColumnsRenamed({"_spans": spans_as} if spans_as else {}).drop("_taken", "_spans")
 
 
 #: Output columns of the masked dataset with the input columns they come from.

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casemill.functions import lexicons as L
+from casemill.functions.binding import bind
 
 
 def _member(word: Column, words: Sequence[str]) -> Column:
@@ -64,18 +65,34 @@ def rejection_reasons(token: Column, original: Column, pos: Column, protected: C
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in checks]))
 
 
+def checked_candidates(candidates: Column, original: Column, pos: Column, protected: Column) -> Column:
+    """Every candidate with its normal form, whether it may stand in for ``original``, and why not."""
+
+    def one(c: Column) -> Column:
+        fields = [c["token"].alias("token"), c["score"].alias("score"), normal_token(c["token"]).alias("normalized_token")]
+        return bind(rejection_reasons(c["token"], original, pos, protected), lambda why: F.struct(*fields, (F.size(why) == 0).alias("accepted"), why.alias("rejection_reasons")))
+
+    return F.transform(candidates, one)
+
+
 def select_safe(candidates: Column, original: Column, pos: Column, protected: Column, rank: Column | int) -> Column:
     """``struct<replacement, method, fallback, checked>``: the accepted candidate of the wanted rank, or the original.
 
     ``candidates`` is ``array<struct<token, score>>`` by falling score; every check is kept in ``checked``.
+    A rank beyond the accepted candidates takes the last of them.
     """
-    checked = F.transform(candidates, lambda c: F.struct(c["token"].alias("token"), c["score"].alias("score"), normal_token(c["token"]).alias("normalized_token"), (F.size(rejection_reasons(c["token"], original, pos, protected)) == 0).alias("accepted"), rejection_reasons(c["token"], original, pos, protected).alias("rejection_reasons")))
-    accepted = F.transform(F.filter(checked, lambda c: c["accepted"]), lambda c: c["normalized_token"])
-    at = F.least(rank if isinstance(rank, Column) else F.lit(rank), F.size(accepted) - 1) + 1
-    chosen = F.when(F.size(accepted) > 0, F.get(accepted, at - 1))
-    return F.struct(
-        F.coalesce(chosen, original, F.lit("")).alias("replacement"),
-        F.when(chosen.isNotNull(), "model_filtered").otherwise("fallback_restore_original").alias("method"),
-        chosen.isNull().alias("fallback"),
-        checked.alias("checked"),
-    )
+    wanted = rank if isinstance(rank, Column) else F.lit(rank)
+
+    def picked(checked: Column) -> Column:
+        accepted = F.transform(F.filter(checked, lambda c: c["accepted"]), lambda c: c["normalized_token"])
+        return bind(accepted, lambda ok: bind(F.get(ok, F.least(wanted, F.size(ok) - 1)), lambda chosen: result(chosen, checked)))
+
+    def result(chosen: Column, checked: Column) -> Column:
+        return F.struct(
+            F.coalesce(chosen, original, F.lit("")).alias("replacement"),
+            F.when(chosen.isNotNull(), L.METHOD_FILTERED).otherwise(L.METHOD_FALLBACK).alias("method"),
+            chosen.isNull().alias("fallback"),
+            checked.alias("checked"),
+        )
+
+    return bind(checked_candidates(candidates, original, pos, protected), picked)

@@ -19,25 +19,55 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+#: Characters that no text may hold, put around matches while they are read off; fixed values.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
+
+
 def regex_spans(text: Column, pattern: str, mask_type: str, source: str) -> Column:
     """All matches of ``pattern`` (case ignored, Unicode classes) from left to right; null for null text.
 
-    Offsets come from the lengths of the matches and of what lies between them.
+    One scan puts marks around the matches; offsets come from the lengths of what lies between the marks.
+    Texts of ASCII alone are scanned without Unicode classes, which finds the same and is faster. Texts
+    that hold the marks themselves are scanned twice instead, for the matches and for what lies between.
     """
-    java = f"(?iuU){pattern}"
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        a = acc["at"] + pair["gap"]
-        b = a + F.length(pair["hit"])
-        span = F.struct(a.alias("start_char"), b.alias("end_char"), pair["hit"].alias("original_value"), F.lit(mask_type).alias("mask_type"), F.lit(source).alias("source"))
-        return F.struct(F.coalesce(b, a).alias("at"), F.when(pair["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+    def added(acc: Column, before: Column, hit: Column) -> Column:
+        """``acc`` with a match after ``before`` characters."""
+
+        def placed(edges: Column) -> Column:
+            span = F.struct(edges["a"].alias("start_char"), edges["b"].alias("end_char"), hit.alias("original_value"), F.lit(mask_type).alias("mask_type"), F.lit(source).alias("source"))
+            return F.concat(acc["spans"], F.array(span))
+
+        a = acc["at"] + before
+        return placed(F.struct(a.alias("a"), (a + F.length(hit)).alias("b")))
+
+    def marked(java: str) -> Column:
+        parts = F.split(F.regexp_replace(text, java, f"{_OPEN}$0{_SHUT}"), _OPEN, -1)
+
+        def step(acc: Column, part: Column) -> Column:
+            hit = F.substring_index(part, _SHUT, 1)
+            return F.struct((acc["at"] + F.length(part) - 1).cast("int").alias("at"), added(acc, F.lit(0), hit).alias("spans"))
+
+        def read(found: Column) -> Column:
+            first = F.struct(F.length(F.get(found, F.lit(0))).alias("at"), no_spans().alias("spans"))
+            return F.when(F.size(found) > 1, F.aggregate(F.slice(found, 2, F.size(found)), first, step, lambda acc: acc["spans"])).when(text.isNotNull(), no_spans())
+
+        return bind(parts, read)
+
+    def twice(java: str) -> Column:
+        def step(acc: Column, pair: Column) -> Column:
+            ends = acc["at"] + pair["gap"] + F.coalesce(F.length(pair["hit"]), F.lit(0))
+            return F.struct(ends.alias("at"), F.when(pair["hit"].isNull(), acc["spans"]).otherwise(added(acc, pair["gap"], pair["hit"])).alias("spans"))
+
+        def found(hits: Column) -> Column:
+            pairs = F.zip_with(F.split(text, java, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+            return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).when(hits.isNotNull(), no_spans())
 
-    def found(hits: Column) -> Column:
-        pairs = F.zip_with(F.split(text, java, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-        return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).when(hits.isNotNull(), no_spans())
+        return bind(F.regexp_extract_all(text, F.lit(java), F.lit(0)), found)
 
-    return bind(F.regexp_extract_all(text, F.lit(java), F.lit(0)), found)
+    plain, full = f"(?i){pattern}", f"(?iuU){pattern}"
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), marked(plain)).when(text.contains(_OPEN) | text.contains(_SHUT), twice(full)).otherwise(marked(full))
 
 
 def overlaps(a: Column, b: Column) -> Column:

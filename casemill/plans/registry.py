@@ -53,8 +53,8 @@ masked as (select source_row_id, PMCID, PMID, case_no, disease, case_text, chose
 
 def masked_cases(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: cases masked by pattern, entity, lexicon and neutral wording, with counts by type."""
-    m = F.col("metadata")
-    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG)
+    m = F.col("spans")
+    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG, spans_as="spans")
     summed = masked.select("source_row_id", "masked_text", F.size(m).alias("masked_token_count"), spans.joined(m, "original_value").alias("masked_tokens"), spans.joined(m, "mask_type").alias("mask_types"))
     return summed.select("*", *analyze.type_counts(F.col("mask_types")))
 
@@ -308,7 +308,7 @@ select p.token, coalesce(n, 0) as n from (select unnest([{", ".join(map(S.text,
     "ngram_topk": f"{_GRAMS_SQL} select prev, next, token, n, rank from g where rank <= 3",
     "safe_selection": f"""{_GRAMS_SQL}, l as (select prev, next, list(token order by rank) as r from g where rank <= 8 group by 1, 2),
 s as (select *, list_filter(r, lambda t: len({S.rejection_reasons('t', "'also'", "'ADV'")}) = 0) as ok from l)
-select prev, next, array_to_string(r, ',') as ranked, case when len(ok) > 0 then ok[1] else 'also' end as chosen, case when len(ok) > 0 then 'model_filtered' else 'fallback_restore_original' end as method from s""",
+select prev, next, array_to_string(r, ',') as ranked, case when len(ok) > 0 then ok[1] else 'also' end as chosen, case when len(ok) > 0 then '{L.METHOD_FILTERED}' else '{L.METHOD_FALLBACK}' end as method from s""",
     "mask_context": f"""with s as (select source_row_id, variant_id, masked_text, strpos(masked_text, '[MASK]') - 1 as b from {FILLED} where contains(masked_text, '[MASK]'))
 select source_row_id, variant_id, replace(substring(masked_text, greatest(0, b - 900) + 1, least(b, 900)), '[MASK]', 'unknown') || '[MASK]' || replace(substring(masked_text, b + 7, 900), '[MASK]', 'unknown') as context from s""",
 }
