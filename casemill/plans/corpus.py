@@ -51,10 +51,11 @@ QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_masks, p5_candidates,
 _TREE_SQL = f"""with recursive w as (select row_number() over () as r, source_row_id, mask_metadata as m, 0 as depth from {MASKED} where json_valid(mask_metadata)
  union all select r, source_row_id, m::JSON->>'$', depth + 1 from w where json_valid(m) and json_type(m) = 'VARCHAR'),
 j as (select r, source_row_id, m from w where json_valid(m) and json_type(m) <> 'VARCHAR'),
-n as (select j.r, j.source_row_id, t.id, t.parent, t.key, t.type, t.fullkey, t.atom from j, json_tree(j.m) t)"""
+n as (select j.r, j.source_row_id, t.id, t.parent, t.key, t.type, t.fullkey, case when t.type = 'VARCHAR' then t.value->>'$' when t.type <> 'NULL' then t.value::VARCHAR end as value from j, json_tree(j.m) t)"""
+MASKS_SQL = f"""{_TREE_SQL},
+masks as (select o.r, o.source_row_id, o.id, row_number() over (partition by o.r order by o.id) as mask_pos from n o where o.type = 'OBJECT' and exists (select 1 from n x where x.r = o.r and x.parent = o.id and x.key = 'mask_type'))"""
 ORACLE_SQL = {
-    "p5_found": f"""{_TREE_SQL},
-masks as (select o.r, o.source_row_id, o.id, row_number() over (partition by o.r order by o.id) as mask_pos from n o where o.type = 'OBJECT' and exists (select 1 from n x where x.r = o.r and x.parent = o.id and x.key = 'mask_type')),
+    "p5_found": f"""{MASKS_SQL},
 cf as (select m.r, m.source_row_id, m.mask_pos, f.id, f.type from masks m join n f on f.r = m.r and f.parent = m.id and f.key = 'candidates'),
 cands as (select cf.r, cf.source_row_id, cf.mask_pos, c.id, row_number() over (partition by cf.r, cf.id order by c.id) as candidate_pos from cf join n c on c.r = cf.r and c.parent = cf.id where cf.type = 'ARRAY'
  union all select r, source_row_id, mask_pos, id, 1 from cf where type not in ('ARRAY', 'NULL')),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,7 +63,7 @@ def masked_cases(spark: SparkSession, folder: str) -> DataFrame:
 def mask_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """One row per mask with constraint and safety flags."""
     masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG)
-    return masked.select("source_row_id", F.explode("metadata").alias("m")).select("source_row_id", *[f"m.{f}" for f in ("mask_index", "start_char", "end_char", "original_value", "mask_type", "source", "constraint_rule", "medical_concept", "severity_sensitive", "temporality_sensitive")])
+    return masked.select("source_row_id", F.explode("metadata").alias("m")).select("source_row_id", *[f"m.{f}" for f in ("mask_index", "start_char", "end_char", "original_value", "mask_type", "source", "constraint_rule", "pos", "lemma", "entity_type", *L.FLAGS, "protected")])
 
 
 def masked_dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +76,16 @@ def masked_dataset_v2(spark: SparkSession, folder: str) -> DataFrame:
     return mask.masked_dataset(spread(table(spark, folder, CASE_TABLE), "karte_id"), CASE_TEXT, "karte_id", mask.MaskingConfig(version=2))
 
 
+PATTERNS_ONLY = mask.MaskingConfig(annotator=annotate.RuleAnnotator(()))
+
+
+def masked_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """The real cases masked without an annotator: patterns, sex terms and neutral words."""
+    known = text_files.with_text(spread(table(spark, folder, CASE_TABLE), "karte_id"), CASE_TEXT)
+    masked = mask.mask_text(known.select(F.col("karte_id").alias("source_row_id"), F.col(f"`{CASE_TEXT}`").alias("case_text")), "case_text", "source_row_id", PATTERNS_ONLY, spans_as="spans")
+    return masked.select("source_row_id", "masked_text", F.size("spans").alias("masked_token_count"), spans.joined(F.col("spans"), "original_value").alias("masked_tokens"), spans.joined(F.col("spans"), "mask_type").alias("mask_types"))
+
+
 def load_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Cases that have a text; strings that stand for missing values count as none."""
     return text_files.with_text(table(spark, folder, CASE_TABLE), CASE_TEXT).select("karte_id", "Title", F.length(f"`{CASE_TEXT}`").alias("n_chars"))
@@ -92,7 +103,7 @@ def load_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata_parsed(spark: SparkSession, folder: str) -> DataFrame:
     """How many mask objects the metadata of each masked row gives."""
-    return table(spark, folder, MASKED).select("source_row_id", "masked_at", F.size(fill.parsed_metadata(F.col("mask_metadata"))).alias("masks"))
+    return table(spark, folder, MASKED).select("source_row_id", F.size(fill.parsed_metadata(F.col("mask_metadata"))).alias("masks"))
 
 
 def category_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,26 +163,45 @@ def variants(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source_row_id", "variant_id", "augmentation_factor", draws.date_offset(F.col("source_row_id"), F.col("variant_id")).alias("days"))
 
 
+#: Candidates of the synthetic cases: some are refused; every third case has only refused ones, every fiftieth fails.
+OFFERED, REFUSED = (("often", 0.4), ("fever", 0.25), ("usually", 0.2), ("Mainly", 0.1), ("##largely", 0.05)), (("fever", 0.6), ("now and then", 0.4))
+_ISSUE = "no_candidate_satisfied_constraints"
+
+
 def filled_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Masked cases filled by rule, two variants each, sex changed, with validation and status."""
-    config = mask.MaskingConfig(annotator=ANNOTATOR, mask_low_risk_wording=False)
-    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", config).select("source_row_id", "masked_text", F.to_json("metadata").alias("mask_metadata"))
-    out = fill.fill(masked, config=fill.FillingConfig(variants=2, change_sex=True))
-    return out.select("source_row_id", "variant_id", "filled_text", "predicted_tokens", "fill_status", "validation_issues")
+    """Masked cases filled two times each with sex changed: rules, neutral words with refused candidates, fallbacks, failed rows, validation and status."""
+    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG).select("source_row_id", "masked_text", F.to_json("metadata").alias("mask_metadata"))
+    k = F.col("source_row_id")
+    ranked = lambda words: F.array(*[F.struct(F.lit(w).alias("token"), F.lit(x).alias("score")) for w, x in words]).cast(candidates.CANDIDATES)
+    out = fill.fill(masked, F.when(k % 3 == 0, ranked(REFUSED)).otherwise(ranked(OFFERED)), config=fill.FillingConfig(variants=2, change_sex=True), error=F.when(k % 50 == 0, F.lit("model failed")))
+    details = F.from_json("mask_fill_details", "array<struct<method:string,classification:struct<pos:string>,candidates:array<struct<rejection_reasons:array<string>>>>>")
+    methods = F.array_join(F.transform(details, lambda d: d["method"]), ";")
+    reasons = F.array_join(F.flatten(F.flatten(F.transform(details, lambda d: F.transform(d["candidates"], lambda c: c["rejection_reasons"])))), ";")
+    return out.select("source_row_id", "variant_id", "filled_text", "predicted_tokens", "fill_status", "validation_issues", "fill_error", methods.alias("methods"), reasons.alias("reasons"))
+
+
+def filled_first_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the first three masks of each case filled: what is left fails validation."""
+    masked = mask.mask_text(cases(spark, folder), "case_text", "source_row_id", CONFIG).select("source_row_id", "masked_text", F.to_json("metadata").alias("mask_metadata"))
+    out = fill.fill(masked, config=fill.FillingConfig(max_masks=3))
+    return out.select("source_row_id", "filled_text", "predicted_tokens", "fill_status", "validation_issues")
+
+
+_FILLED_CHECKED = ("source_row_id", "variant_id", "augmentation_factor", "masked_text", "filled_text", "predicted_tokens", "fill_status", "fill_error", "model_name", "filling_version")
 
 
 def filled_masked(spark: SparkSession, folder: str) -> DataFrame:
     """The real masked rows filled with candidates ranked over the corpus, two variants each."""
     masked = spread(table(spark, folder, MASKED).select("source_row_id", "masked_at", "masked_text", "mask_metadata"), "source_row_id")
     ranked = candidates.ranked_pool(candidates.pool_ranking(table(spark, folder, "documents"), "text"))
-    return fill.fill(masked, ranked, config=fill.FillingConfig(variants=2)).drop("mask_metadata")
+    return fill.fill(masked, ranked, config=fill.FillingConfig(variants=2)).select(*_FILLED_CHECKED, "validation_issues")
 
 
 def filled_masked_v3(spark: SparkSession, folder: str) -> DataFrame:
     """The same by the older rules: no safety filter, no validation."""
     masked = spread(table(spark, folder, MASKED).select("source_row_id", "masked_at", "masked_text", "mask_metadata"), "source_row_id")
     ranked = candidates.ranked_pool(candidates.pool_ranking(table(spark, folder, "documents"), "text"))
-    return fill.fill(masked, ranked, config=fill.FillingConfig(variants=2, version=3)).drop("mask_metadata")
+    return fill.fill(masked, ranked, config=fill.FillingConfig(variants=2, version=3)).select(*_FILLED_CHECKED, "constraint_policy")
 
 
 def validation(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,8 +270,8 @@ QUERIES: dict[str, Query] = {
     **{
         f.__name__: f
         for f in (
-            masked_cases, mask_metadata, masked_dataset, masked_dataset_v2, load_cases, first_cases, load_masked, metadata_parsed, category_counts, category_rollup, version_check, leak_check,
-            filled_projection, id_false_positives, date_values, date_shift, date_shift_absolute, replacements, variants, filled_cases, filled_masked, filled_masked_v3, validation, rejection,
+            masked_cases, mask_metadata, masked_patterns, masked_dataset, masked_dataset_v2, load_cases, first_cases, load_masked, metadata_parsed, category_counts, category_rollup, version_check, leak_check,
+            filled_projection, id_false_positives, date_values, date_shift, date_shift_absolute, replacements, variants, filled_cases, filled_first_masks, filled_masked, filled_masked_v3, validation, rejection,
             safe_selection, pool_ranking, ngram_topk, mask_context, csv_round_trip, report_blocks, streamed_masks,
         )
     },
@@ -256,20 +286,83 @@ _ISSUES_SQL = f"""list_filter([
  case when not list_reduce(string_split(coalesce(masked_text, ''), '[MASK]'), lambda acc, s: case when not acc.ok then acc when length(s) = 0 then acc
    when strpos(substring(coalesce(filled_text, ''), acc.at + 1), s) = 0 then {{'at': acc.at, 'ok': false}}
    else {{'at': (acc.at + strpos(substring(coalesce(filled_text, ''), acc.at + 1), s) - 1 + length(s))::BIGINT, 'ok': true}} end, {{'at': 0::BIGINT, 'ok': true}}).ok then 'non_mask_text_changed' end], lambda x: x is not null)"""
-_FILL_MASKS_SQL = f"""with c as ({CASES_SQL}), p as (select c.*, {S.resolved(_PRIORITY_SQL)} as chosen from c),
-masked as (select source_row_id, case_text, chosen, x.o || substring(case_text, x.at + 1) as masked_text from (select p.*, {S.spliced('case_text', 'chosen')} as x from p)),
-v as (select masked.*, variant_id::INTEGER as variant_id from masked, (select unnest([1, 2]) as variant_id)),
+def _offered_sql(words: tuple) -> str:
+    """[(word without the mark of a continued word, its reasons against it)] as a list, for the mask ``s``."""
+    bare = [w.removeprefix("##") for w, _ in words]
+    return "[" + ", ".join(f"{{'w': {S.text(w)}, 'why': {S.rejection_reasons(S.text(w), 's.original_value', chr(39) + 'ADV' + chr(39))}}}" for w in bare) + "]"
+
+
+_ACCEPTED = "list_transform(list_filter({}, lambda c: len(c.why) = 0), lambda c: c.w)"
+_NEUTRAL_SQL = f"case when source_row_id % 3 = 0 then s.original_value else {_ACCEPTED.format(_offered_sql(OFFERED))}[least(variant_id, len({_ACCEPTED.format(_offered_sql(OFFERED))}))] end"
+_METHOD_SQL = f"""case s.mask_type when 'AGE' then 'constraint_age_category' when 'DATE' then 'constraint_shift_' || {S.date_kind('s.original_value')} when 'SEX' then 'constraint_change_sex_pair'
+ when 'LOW_RISK_WORDING' then case when source_row_id % 3 = 0 then '{L.METHOD_FALLBACK}' else '{L.METHOD_FILTERED}' end else 'constraint_fictitious_' || lower(s.mask_type) end"""
+_RULED_SQL = f"""case s.mask_type when 'AGE' then {S.replaced_age('s.original_value', 'source_row_id', 'variant_id', 'i')}
+  when 'DATE' then {S.shifted_any('s.original_value', 'days')} when 'SEX' then SEX_SQL when 'ID' then {S.replaced_id('s.original_value', 'source_row_id', 'variant_id', 'i')}
+  when 'LOW_RISK_WORDING' then NEUTRAL_SQL else {S.fictitious('s.mask_type', 'source_row_id', 'variant_id', 'i')} end"""
+_FILL_MASKS_SQL = f"""{_MASK_SQL}, v as (select masked.*, variant_id::INTEGER as variant_id from masked, (select unnest([1, 2]) as variant_id)),
 d as (select v.*, {S.date_offset('source_row_id', 'variant_id')} as days from v),
-f as (select d.*, list_transform(chosen, lambda s, i: case s.mask_type when 'AGE' then {S.replaced_age('s.original_value', 'source_row_id', 'variant_id', 'i')}
-  when 'DATE' then {S.shifted_any('s.original_value', 'days')} when 'SEX' then {S.replaced_sex('s.original_value')} when 'ID' then {S.replaced_id('s.original_value', 'source_row_id', 'variant_id', 'i')}
-  else {S.fictitious('s.mask_type', 'source_row_id', 'variant_id', 'i')} end) as reps from d),
-o as (select f.*, array_to_string(list_transform(string_split(masked_text, '[MASK]'), lambda s, i: s || coalesce(reps[i], '')), '') as filled_text from f)
-select source_row_id, variant_id, filled_text, array_to_string(reps, '; ') as predicted_tokens, 'filled' as fill_status, '[]' as validation_issues from o"""
+f as (select d.*, list_transform(chosen, lambda s, i: {_RULED_SQL.replace('SEX_SQL', S.replaced_sex('s.original_value')).replace('NEUTRAL_SQL', _NEUTRAL_SQL)}) as reps, list_transform(chosen, lambda s: {_METHOD_SQL}) as methods,
+ list_filter(list_transform(chosen, lambda s, i: case when s.mask_type = 'LOW_RISK_WORDING' and source_row_id % 3 = 0 then 'mask_' || i || ':{_ISSUE}' end), lambda x: x is not null) as issues,
+ flatten(list_transform(list_filter(chosen, lambda s: s.mask_type = 'LOW_RISK_WORDING'), lambda s: flatten(list_transform(case when source_row_id % 3 = 0 then {_offered_sql(REFUSED)} else {_offered_sql(OFFERED)} end, lambda c: c.why)))) as reasons from d),
+o as (select f.*, array_to_string(list_transform(string_split(masked_text, '[MASK]'), lambda s, i: s || coalesce(reps[i], '')), '') as filled, source_row_id % 50 = 0 as failed from f)
+select source_row_id, variant_id, case when failed then masked_text else filled end as filled_text, case when failed then '' else array_to_string(reps, '; ') end as predicted_tokens,
+case when failed then 'error' when len(issues) = 0 then 'filled' else 'filled_with_fallback' end as fill_status, case when failed or len(issues) = 0 then '[]' else '["' || array_to_string(issues, '","') || '"]' end as validation_issues,
+case when failed then 'model failed' else '' end as fill_error, case when failed then '' else array_to_string(methods, ';') end as methods, case when failed then '' else array_to_string(reasons, ';') end as reasons from o"""
+_FIRST_MASKS_SQL = f"""{_MASK_SQL}, d as (select masked.*, {S.date_offset('source_row_id', '1')} as days, 1 as variant_id from masked),
+f as (select d.*, list_transform(chosen[1:3], lambda s, i: {_RULED_SQL.replace('SEX_SQL', 's.original_value').replace('NEUTRAL_SQL', 's.original_value')}) as reps,
+ list_filter(list_transform(chosen[1:3], lambda s, i: case when s.mask_type = 'LOW_RISK_WORDING' then 'mask_' || i || ':{_ISSUE}' end), lambda x: x is not null) as issues from d)
+select source_row_id, array_to_string(list_transform(string_split(masked_text, '[MASK]'), lambda s, i: s || case when i <= 3 then reps[i] when i <= len(chosen) then '[MASK]' else '' end), '') as filled_text,
+array_to_string(reps, '; ') as predicted_tokens, 'validation_failed' as fill_status,
+'["' || array_to_string(['mask_metadata_count_mismatch:' || len(chosen) || '!=3', 'unfilled_mask_remaining'] || issues, '","') || '"]' as validation_issues from f"""
+_POLICY = json.dumps({"CHANGE_SEX": False, "DATE_SHIFT_MIN_DAYS": 30, "DATE_SHIFT_MAX_DAYS": 365, "AGE_DELTA_BY_CATEGORY": L.AGE_SPREAD})
+_MASK_FIELDS = "{\"mask_type\": \"VARCHAR\", \"original_value\": \"VARCHAR\", \"mask_index\": \"INTEGER\", \"pos\": \"VARCHAR\"" + "".join(f", \"{b}\": \"BOOLEAN\"" for b in (*L.FLAGS, "protected")) + "}"
+
+
+def _filled_sql(version: int) -> str:
+    """The real masked rows filled: metadata read, sorted and zipped with the masks, rules and ranked words, validation."""
+    protected = " or ".join(f"coalesce(s.{b}, false)" for b in (*L.FLAGS, "protected"))
+    accepted = f"list_filter(top, lambda t: not ({protected}) and len({S.rejection_reasons('t', 's.original_value', 's.pos')}) = 0)"
+    raw = "coalesce(top[least(variant_id, len(top))], s.original_value)"
+    neutral = f"coalesce({accepted}[least(variant_id, len({accepted}))], s.original_value)" if version >= 4 else raw
+    dated = S.shifted_any("s.original_value", "days") if version >= 4 else f"coalesce({S.shifted_date('s.original_value', 'days')}, s.original_value)"
+    replaced = f"""case s.mask_type when 'AGE' then {S.replaced_age('s.original_value', 'source_row_id', 'variant_id', 's.mask_index')} when 'DATE' then {dated} when 'SEX' then s.original_value
+ when 'ID' then {S.replaced_id('s.original_value', 'source_row_id', 'variant_id', 's.mask_index')} when 'LOW_RISK_WORDING' then {neutral}
+ when 'NAME' then {S.fictitious("'NAME'", 'source_row_id', 'variant_id', 's.mask_index')} when 'LOCATION' then {S.fictitious("'LOCATION'", 'source_row_id', 'variant_id', 's.mask_index')} when 'ORGANIZATION' then {S.fictitious("'ORGANIZATION'", 'source_row_id', 'variant_id', 's.mask_index')} else {raw} end"""
+    lacks = f"s.mask_type = 'LOW_RISK_WORDING' and len({accepted}) = 0"
+    kept = """list_reduce(string_split(masked_text, '[MASK]'), lambda acc, s: case when not acc.ok then acc when length(s) = 0 then acc when strpos(substring(filled_text, acc.at + 1), s) = 0 then {'at': acc.at, 'ok': false}
+ else {'at': (acc.at + strpos(substring(filled_text, acc.at + 1), s) - 1 + length(s))::BIGINT, 'ok': true} end, {'at': 0::BIGINT, 'ok': true}).ok"""
+    issues = f"""list_distinct_kept([case when n <> len(masks) then 'mask_metadata_count_mismatch:' || n || '!=' || len(masks) end, case when contains(filled_text, '[MASK]') then 'unfilled_mask_remaining' end, case when not {kept} then 'non_mask_text_changed' end] || lacking)"""
+    issues = issues.removeprefix("list_distinct_kept(").removesuffix(")")
+    status = (
+        "case when blank then 'empty' when len(issues) = 0 then 'filled' when len(list_filter(issues, lambda x: not contains(x, 'no_candidate_satisfied_constraints'))) = 0 then 'filled_with_fallback' else 'validation_failed' end"
+        if version >= 4 else "case when blank then 'empty' when contains(filled_text, '[MASK]') then 'partially_filled' else 'filled' end"
+    )
+    last = "case when len(issues) = 0 then '[]' else '[\"' || array_to_string(issues, '\",\"') || '\"]' end as validation_issues" if version >= 4 else f"{S.text(_POLICY)} as constraint_policy"
+    return f"""with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents), c as (select token, count(*) as n from w group by 1),
+pool as (select list(token order by n desc, token)[1:8] as top from (select p.token, coalesce(n, 0) as n from (select unnest([{", ".join(map(S.text, candidates.POOL))}]) as token) p left join c using (token))),
+rows as (select row_number() over () as r, source_row_id, coalesce(masked_text, '') as masked_text, mask_metadata as m from {MASKED}),
+got as (select rows.*, case when json_valid(m) and json_type(m) = 'ARRAY' then list_transform(list_filter(json_extract(m, '$[*]'), lambda x: json_type(x) = 'OBJECT'), lambda x: json_transform(x, '{_MASK_FIELDS}')) else [] end as parsed from rows),
+numbered as (select got.*, {S.count_of('masked_text', L.MASK)} as n, list_transform(list_sort(list_transform(parsed, lambda x, i: {{'k': coalesce(x.mask_index, 0), 'i': i, 'x': x}})), lambda y: {{'mask_type': coalesce(y.x.mask_type, 'LOW_RISK_WORDING'), 'original_value': coalesce(y.x.original_value, ''), 'mask_index': y.k, 'pos': coalesce(y.x.pos, ''), {", ".join(f"'{b}': y.x.{b}" for b in (*L.FLAGS, "protected"))}}}) as sorted from got),
+known as (select * exclude (sorted), case when len(parsed) > 0 then sorted else list_transform(range(1, n + 1), lambda i: {{'mask_type': 'LOW_RISK_WORDING', 'original_value': '', 'mask_index': i::INTEGER, 'pos': '', {", ".join(f"'{b}': false" for b in (*L.FLAGS, "protected"))}}}) end as masks from numbered),
+v as (select known.*, top, variant_id::INTEGER as variant_id, trim(masked_text) = '' as blank from known, pool, (select unnest([1, 2]) as variant_id)),
+d as (select v.*, {S.date_offset('source_row_id', 'variant_id')} as days, masks[1:n] as used from v),
+f as (select d.*, list_transform(used, lambda s: {replaced}) as reps, list_filter(list_transform(used, lambda s: case when {lacks} then 'mask_' || s.mask_index || ':no_candidate_satisfied_constraints' end), lambda x: x is not null) as lacking from d),
+o as (select f.*, array_to_string(list_transform(string_split(masked_text, '[MASK]'), lambda s, i: s || case when i <= len(reps) then reps[i] when i <= n then '[MASK]' else '' end), '') as filled_text from f),
+p as (select o.*, case when blank then [] else list_filter({issues}, lambda x: x is not null) end as every from o),
+q as (select p.*, list_filter(every, lambda x, i: list_position(every, x) = i) as issues from p)
+select source_row_id, variant_id, 2 as augmentation_factor, masked_text, filled_text, array_to_string(reps, '; ') as predicted_tokens, {status} as fill_status, '' as fill_error, 'corpus-ranking' as model_name, 'mask-filling-trial{version}' as filling_version, {last} from q"""
+
+
+_PATTERNS_SQL = _MASK_SQL.replace(CASES_SQL, f"""select karte_id as source_row_id, '' as PMCID, 0 as PMID, 0 as case_no, '' as disease, "{CASE_TEXT}" as case_text from {CASE_TABLE} where "{CASE_TEXT}" is not null and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)}""").replace(" || " + _ENTITIES_SQL, "")
 _GRAMS_SQL = f"""with w as (select regexp_extract_all(lower(text), '[a-z]+') as w from documents where text is not null),
 t as (select unnest(list_transform(range(2, len(w)), lambda i: {{'prev': w[i-1], 'token': w[i], 'next': w[i+1]}})) as t from w where len(w) >= 3),
 n as (select t.prev as prev, t.next as next, t.token as token, count(*) as n from t where t.token in {S.values(candidates.POOL)} group by all),
 g as (select *, row_number() over (partition by prev, next order by n desc, token)::INTEGER as rank from n)"""
 
+_ONE_WORD_SQL = "not regexp_matches(m.s.original_value, '[\\s\\-/,]')"
+_WORD_CLASS_SQL = f"case when not ({_ONE_WORD_SQL}) then '' when m.s.mask_type = 'LOW_RISK_WORDING' then 'ADV' when lower(m.s.original_value) in ('he', 'she', 'his', 'her', 'him', 'hers') then 'PRON' when m.s.mask_type = 'SEX' then 'NOUN' else '' end"
+_MEDICAL_SQL = f"case when {_ONE_WORD_SQL} then {S.medical_word('m.s.original_value')} else regexp_matches(m.s.original_value, {S.text(L.MEDICAL_PATTERN)}, 'i') or len(list_filter(regexp_extract_all(lower(m.s.original_value), '[a-z]+(?:-[a-z]+)*'), lambda w: w in {S.values(L.MEDICAL_TERMS)} or regexp_matches(w, '(?:{'|'.join(L.MEDICAL_SUFFIXES)})$'))) > 0 end"
+
 ORACLE_SQL: dict[str, str] = {
     "cases_view": CASES_SQL,
     **{f"regex_{t.lower()}": _span_sql(S.spans("case_text", p, t, "regex")) for t, p in _REGEX.items()},
@@ -281,8 +374,9 @@ ORACLE_SQL: dict[str, str] = {
 array_to_string(list_transform(chosen, lambda x: x.mask_type), '; ') as mask_types from masked) select *, {_COUNTS_SQL} from s""",
     "mask_metadata": f"""{_MASK_SQL}, e as (select source_row_id, unnest(list_transform(chosen, lambda x, i: {{'i': i::INTEGER, 's': x}})) as m from masked)
 select source_row_id, m.i as mask_index, m.s.start_char as start_char, m.s.end_char as end_char, m.s.original_value as original_value, m.s.mask_type as mask_type, m.s.source as source,
-{S.constraint('m.s.mask_type', 'm.s.original_value')} as constraint_rule, {S.medical_word('m.s.original_value')} as medical_concept, lower(m.s.original_value) in {S.values(L.SEVERITY_TERMS)} as severity_sensitive,
-lower(m.s.original_value) in {S.values(L.TEMPORALITY_TERMS)} as temporality_sensitive from e""",
+{S.constraint('m.s.mask_type', 'm.s.original_value')} as constraint_rule, {_WORD_CLASS_SQL} as pos, case when {_ONE_WORD_SQL} then lower(m.s.original_value) else '' end as lemma,
+case when contains(m.s.source, 'rule:') then split_part(m.s.source, ':', 2) else '' end as entity_type, {_MEDICAL_SQL} as medical_concept, {", ".join(f"({_ONE_WORD_SQL} and lower(m.s.original_value) in {S.values(words)}) as {flag}" for flag, words in zip(L.FLAGS[1:], (L.NEGATION_TERMS, L.SEVERITY_TERMS, L.TEMPORALITY_TERMS, L.OUTCOME_TERMS, L.POLARITY_TERMS)))},
+{_MEDICAL_SQL} as protected from e""",
     "load_cases": f"""select karte_id, "Title", length("{CASE_TEXT}")::INTEGER as n_chars from karte_example where "{CASE_TEXT}" is not null and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)}""",
     "first_cases": f"""select karte_id from karte_example where "{CASE_TEXT}" is not null and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)} order by karte_id limit 10""",
     "load_masked": f"select source_row_id, length(coalesce(masked_text, ''))::INTEGER as n_chars, case when coalesce(mask_metadata, '[]') = '[]' then 1 else 0 end::INTEGER as without_metadata from {MASKED}",
@@ -299,6 +393,17 @@ lower(m.s.original_value) in {S.values(L.TEMPORALITY_TERMS)} as temporality_sens
 {S.fictitious("'LOCATION'", 'source_row_id', '1', '6')} as new_place, {S.fictitious("'ORGANIZATION'", 'source_row_id', '1', '7')} as new_institution from c""",
     "variants": f"select source_row_id, variant_id::INTEGER as variant_id, 3 as augmentation_factor, {S.date_offset('source_row_id', 'variant_id')} as days from {MASKED}, (select unnest([1, 2, 3]) as variant_id)",
     "filled_cases": _FILL_MASKS_SQL,
+    "filled_first_masks": _FIRST_MASKS_SQL,
+    "filled_masked": _filled_sql(4),
+    "filled_masked_v3": _filled_sql(3),
+    "masked_patterns": f"""{_PATTERNS_SQL} select source_row_id, masked_text, len(chosen)::INTEGER as masked_token_count, array_to_string(list_transform(chosen, lambda x: x.original_value), '; ') as masked_tokens, array_to_string(list_transform(chosen, lambda x: x.mask_type), '; ') as mask_types from masked""",
+    "metadata_parsed": f"""select source_row_id, coalesce(case when json_valid(mask_metadata) and json_type(mask_metadata) = 'ARRAY' then len(list_filter(json_extract(mask_metadata, '$[*]'), lambda x: json_type(x) = 'OBJECT')) end, 0)::INTEGER as masks from {MASKED}""",
+    "leak_check": f"""{corpus.MASKS_SQL}, h as (select m.source_row_id, m.mask_pos::INTEGER as mask_pos, v.value as original_value, list_sort(list_distinct(list_filter(regexp_extract_all(lower(v.value), '[a-z]+'), lambda x: x in {S.values(L.PROTECTED_PATHOGENS)}))) as p
+ from masks m join n v on v.r = m.r and v.parent = m.id and v.key = 'original_value' and v.value is not null) select source_row_id, mask_pos, original_value, array_to_string(p, ',') as pathogens from h where len(p) > 0""",
+    "id_false_positives": f"""with w as (select lower(unnest(regexp_extract_all(text, {S.text(L.ID_PATTERN)}, 0, 'i'))) as word from documents) select word, count(*) as n from w where regexp_matches(word, '^[a-z]+$') group by 1""",
+    "csv_round_trip": f"""select {", ".join(f"nullif({c}::VARCHAR, '') as {c}" for c in ("source_row_id", '"PMCID"', "masked_token_count", "original_text", "masked_text", "mask_metadata"))} from {MASKED}""",
+    "report_blocks": f"""select source_row_id, repeat('=', 80) || chr(10) || {" || chr(10) || ".join(f"'{c}: ' || coalesce({c}::VARCHAR, 'nan')" for c in ("source_row_id", "disease", "masked_token_count", "mask_types"))} || chr(10) || chr(10)
+ || 'Original:' || chr(10) || coalesce(original_text, 'nan') || chr(10) || chr(10) || 'Masked:' || chr(10) || coalesce(masked_text, 'nan') || chr(10) || chr(10) || 'Mask metadata: ' || coalesce(mask_metadata, 'nan') || chr(10) as block from {MASKED}""",
     "validation": f"""with i as (select *, {_ISSUES_SQL} as x from {FILLED}) select source_row_id, variant_id, array_to_string(x, ';') as issues,
 case when trim(coalesce(masked_text, '')) = '' then 'empty' when len(x) = 0 then 'filled' else 'validation_failed' end as status from i""",
     "rejection": f"""with w as (select unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) as word from documents), c as (select word, count(*) as docs from w group by 1)
