@@ -34,6 +34,15 @@ def project(df: DataFrame, columns: Sequence[str] = FILLED_COLUMNS) -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])
 
 
+PREVIEW_COLUMNS = ("source_row_id", "disease", "masked_token_count", "mask_types", "masking_version", "protection_policy", "original_text", "masked_text")
+
+
+def preview(df: DataFrame, key: str = "source_row_id", rows: int = 5, chars: int = 1500, columns: Sequence[str] = PREVIEW_COLUMNS) -> DataFrame:
+    """The first rows by key with those of the columns that exist, texts cut to ``chars`` characters. A look at the data, no step of a pipeline."""
+    shown = [c for c in columns if c in df.columns]
+    return df.orderBy(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in shown]).limit(rows).select(*[F.substring(f"`{c}`", 1, chars).alias(c) if df.schema[c].dataType.typeName() == "string" else F.col(f"`{c}`") for c in shown])
+
+
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     """Required columns that ``df`` lacks, sorted."""
     return sorted(set(required) - set(df.columns))

@@ -93,6 +93,10 @@ def sex_spans(text: Column) -> Column:
     return regex_spans(text, words_pattern(L.SEX_TERMS), "SEX", "lexicon")
 
 
+#: Adverbs and the listed verbs in their forms.
+WIDE_NEUTRAL = rf"\b(?:(?:{'|'.join(v.removesuffix('e') for v in L.SAFE_VERBS)})(?:e|s|es|ed|d|ing)?|\p{{L}}{{2,}}ly|also)\b"
+
+
 def neutral_spans(text: Column, version: int = 3) -> Column:
     """Words whose change leaves the clinical facts alone.
 
@@ -101,7 +105,6 @@ def neutral_spans(text: Column, version: int = 3) -> Column:
     """
     if version >= 3:
         return regex_spans(text, words_pattern(L.SAFE_LOW_RISK_WORDS), "LOW_RISK_WORDING", "lexicon:pos")
-    verbs = "|".join(v.removesuffix("e") for v in L.SAFE_VERBS)
-    found = regex_spans(text, rf"\b(?:(?:{verbs})(?:e|s|es|ed|d|ing)?|\p{{L}}{{2,}}ly|also)\b", "LOW_RISK_WORDING", "lexicon:pos")
+    found = regex_spans(text, WIDE_NEUTRAL, "LOW_RISK_WORDING", "lexicon:pos")
     banned = F.array(*map(F.lit, (*L.PROTECTED_TERMS, *L.SEX_TERMS)))
     return F.filter(found, lambda s: (F.length(s["original_value"]) > 3) & ~F.array_contains(banned, F.lower(s["original_value"])))

@@ -59,7 +59,17 @@ def single_mask_context(text: Column, start: Column, window: int = CONTEXT) -> C
     return F.concat(left, F.lit(L.MASK), right)
 
 
-def model_candidates(context: Column, predict: Callable[[Sequence[str]], Sequence[Sequence[tuple[str, float]]]], k: int = 8, max_words: int = 512) -> Column:
+def model_candidates(context: Column, predict: Callable[[Sequence[str]], Sequence[Sequence[tuple[str, float]]]], k: int = 8) -> Column:
+    """Candidates by a model: ``predict`` takes contexts and gives ranked (token, score) lists. Whatever it raises fails the job."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("score", T.DoubleType())])))
+    def run(contexts: pd.Series) -> pd.Series:
+        return pd.Series([[{"token": t, "score": float(s)} for t, s in found[:k]] for found in predict([c if isinstance(c, str) else "" for c in contexts])], dtype=object)
+
+    return run(context)
+
+
+def model_predictions(context: Column, predict: Callable[[Sequence[str]], Sequence[Sequence[tuple[str, float]]]], k: int = 8, max_words: int = 512) -> Column:
     """``struct<candidates, error>`` by a model: ``predict`` takes contexts with one mask and gives ranked (token, score) lists.
 
     Contexts are cut to ``max_words`` words around their mask, as models read no more. A context without

@@ -106,3 +106,20 @@ def joined(spans: Column, field: str) -> Column:
 def count_of(text: Column, part: str) -> Column:
     """How often ``part`` stands in the text without overlap; 0 for null and empty text."""
     return F.coalesce(F.size(F.split(text, F.lit("\\Q" + part + "\\E"), -1)) - 1, F.lit(0)).cast("long")
+
+
+#: Tokens: words with inner hyphens, apostrophes and marks of numbers, and every other character that is no blank.
+TOKEN = r"[\w#]+(?:[-'’.][\w#]+)*|[^\s\w]"
+
+
+def token_span(tokens: Column, span: Column) -> Column:
+    """``struct<start_char, end_char>`` of the smallest run of tokens that covers a span; null where no token touches it."""
+    touched = F.filter(tokens, lambda t: overlaps(t, span))
+    edges = lambda ts: F.struct(F.get(ts, F.lit(0))["start_char"].alias("start_char"), F.get(ts, F.size(ts) - 1)["end_char"].alias("end_char"))
+    return bind(touched, lambda ts: F.when(F.size(ts) > 0, edges(ts)))
+
+
+def labels_over(span: Column, entities: Column) -> Column:
+    """The labels of the entities that touch a span, each once, sorted and joined by commas; empty where none does."""
+    labels = F.transform(F.filter(entities, lambda e: overlaps(e, span)), lambda e: F.substring_index(e["source"], ":", -1))
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")

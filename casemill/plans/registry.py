@@ -86,6 +86,27 @@ def masked_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return masked.select("source_row_id", "masked_text", F.size("spans").alias("masked_token_count"), spans.joined(F.col("spans"), "original_value").alias("masked_tokens"), spans.joined(F.col("spans"), "mask_type").alias("mask_types"))
 
 
+def masked_patterns_v2(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the older rules: adverbs and harmless verbs count as neutral words, medical spans are not protected."""
+    config = mask.MaskingConfig(version=2, annotator=annotate.RuleAnnotator(()))
+    known = text_files.with_text(spread(table(spark, folder, CASE_TABLE), "karte_id"), CASE_TEXT)
+    masked = mask.mask_text(known.select(F.col("karte_id").alias("source_row_id"), F.col(f"`{CASE_TEXT}`").alias("case_text")), "case_text", "source_row_id", config, spans_as="spans")
+    return masked.select("source_row_id", "masked_text", F.size("spans").alias("masked_token_count"), spans.joined(F.col("spans"), "original_value").alias("masked_tokens"), spans.joined(F.col("spans"), "mask_type").alias("mask_types"))
+
+
+def token_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The identifiers, ages, dates and entities of each case widened to whole tokens, with the labels of the entities that touch them."""
+    x = F.col("case_text")
+    found = cases(spark, folder).select("source_row_id", spans.regex_spans(x, spans.TOKEN, "TOKEN", "token").alias("tokens"), ANNOTATOR.entities(x).alias("entities"), F.concat(mask.regex_candidates(x, CONFIG), ANNOTATOR.entities(x)).alias("s"))
+    each = found.select("source_row_id", F.transform("s", lambda s: F.struct(s["start_char"].alias("start_char"), spans.token_span(F.col("tokens"), s).alias("t"), spans.labels_over(s, F.col("entities")).alias("labels"))).alias("s")).select("source_row_id", F.explode("s").alias("s"))
+    return each.select("source_row_id", "s.start_char", F.col("s.t.start_char").alias("token_start"), F.col("s.t.end_char").alias("token_end"), "s.labels")
+
+
+def masked_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """A look at the first five masked rows, texts cut."""
+    return analyze.preview(table(spark, folder, MASKED))
+
+
 def load_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Cases that have a text; strings that stand for missing values count as none."""
     return text_files.with_text(table(spark, folder, CASE_TABLE), CASE_TEXT).select("karte_id", "Title", F.length(f"`{CASE_TEXT}`").alias("n_chars"))
@@ -256,8 +277,8 @@ def report_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def streamed_masks(spark: SparkSession, folder: str) -> DataFrame:
-    """Case texts masked by a file stream."""
-    return mask_files_once(spark, f"{folder}/{CASE_TABLE}.parquet", CASE_TEXT, "karte_id")
+    """Case texts masked by a file stream, by patterns, sex terms and neutral words."""
+    return mask_files_once(spark, f"{folder}/{CASE_TABLE}.parquet", CASE_TEXT, "karte_id", PATTERNS_ONLY)
 
 
 QUERIES: dict[str, Query] = {
@@ -270,7 +291,7 @@ QUERIES: dict[str, Query] = {
     **{
         f.__name__: f
         for f in (
-            masked_cases, mask_metadata, masked_patterns, masked_dataset, masked_dataset_v2, load_cases, first_cases, load_masked, metadata_parsed, category_counts, category_rollup, version_check, leak_check,
+            masked_cases, mask_metadata, masked_patterns, masked_patterns_v2, token_spans, masked_preview, masked_dataset, masked_dataset_v2, load_cases, first_cases, load_masked, metadata_parsed, category_counts, category_rollup, version_check, leak_check,
             filled_projection, id_false_positives, date_values, date_shift, date_shift_absolute, replacements, variants, filled_cases, filled_first_masks, filled_masked, filled_masked_v3, validation, rejection,
             safe_selection, pool_ranking, ngram_topk, mask_context, csv_round_trip, report_blocks, streamed_masks,
         )
@@ -354,6 +375,9 @@ select source_row_id, variant_id, 2 as augmentation_factor, masked_text, filled_
 
 
 _PATTERNS_SQL = _MASK_SQL.replace(CASES_SQL, f"""select karte_id as source_row_id, '' as PMCID, 0 as PMID, 0 as case_no, '' as disease, "{CASE_TEXT}" as case_text from {CASE_TABLE} where "{CASE_TEXT}" is not null and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)}""").replace(" || " + _ENTITIES_SQL, "")
+_STREAM_SQL = _PATTERNS_SQL.replace(f""" and "{CASE_TEXT}" not in {S.values(L.NA_STRINGS)}""", "")
+_WIDE_SQL = f"list_filter({S.spans('case_text', annotate.WIDE_NEUTRAL, 'LOW_RISK_WORDING', 'lexicon:pos')}, lambda s: length(s.original_value) > 3 and lower(s.original_value) not in {S.values((*L.PROTECTED_TERMS, *L.SEX_TERMS))})"
+_PATTERNS2_SQL = _PATTERNS_SQL.replace(S.spans("case_text", _NEUTRAL, "LOW_RISK_WORDING", "lexicon:pos"), _WIDE_SQL)
 _GRAMS_SQL = f"""with w as (select regexp_extract_all(lower(text), '[a-z]+') as w from documents where text is not null),
 t as (select unnest(list_transform(range(2, len(w)), lambda i: {{'prev': w[i-1], 'token': w[i], 'next': w[i+1]}})) as t from w where len(w) >= 3),
 n as (select t.prev as prev, t.next as next, t.token as token, count(*) as n from t where t.token in {S.values(candidates.POOL)} group by all),
@@ -396,7 +420,13 @@ case when contains(m.s.source, 'rule:') then split_part(m.s.source, ':', 2) else
     "filled_first_masks": _FIRST_MASKS_SQL,
     "filled_masked": _filled_sql(4),
     "filled_masked_v3": _filled_sql(3),
-    "masked_patterns": f"""{_PATTERNS_SQL} select source_row_id, masked_text, len(chosen)::INTEGER as masked_token_count, array_to_string(list_transform(chosen, lambda x: x.original_value), '; ') as masked_tokens, array_to_string(list_transform(chosen, lambda x: x.mask_type), '; ') as mask_types from masked""",
+    **{name: f"{sql} select source_row_id, masked_text, len(chosen)::INTEGER as masked_token_count, array_to_string(list_transform(chosen, lambda x: x.original_value), '; ') as masked_tokens, array_to_string(list_transform(chosen, lambda x: x.mask_type), '; ') as mask_types from masked" for name, sql in (("masked_patterns", _PATTERNS_SQL), ("masked_patterns_v2", _PATTERNS2_SQL))},
+    "streamed_masks": f"{_STREAM_SQL} select source_row_id, masked_text, len(chosen)::INTEGER as masked_token_count, array_to_string(list_transform(chosen, lambda x: x.mask_type), '; ') as mask_types from masked",
+    "token_spans": f"""with c as ({CASES_SQL}), f as (select source_row_id, {S.spans('case_text', spans.TOKEN, 'TOKEN', 'token')} as tokens, {_ENTITIES_SQL} as entities, {" || ".join([*[S.spans("case_text", p, t, "regex") for t, p in _REGEX.items()], _ENTITIES_SQL])} as s from c),
+e as (select source_row_id, tokens, entities, unnest(s) as s from f), t as (select *, list_filter(tokens, lambda t: t.start_char < s.end_char and t.end_char > s.start_char) as ts, list_filter(entities, lambda x: x.start_char < s.end_char and x.end_char > s.start_char) as es from e)
+select source_row_id, s.start_char as start_char, ts[1].start_char as token_start, ts[-1].end_char as token_end, array_to_string(list_sort(list_distinct(list_transform(es, lambda x: split_part(x.source, ':', 2)))), ',') as labels from t""",
+    "masked_preview": f"""select source_row_id, disease, masked_token_count, substring(mask_types, 1, 1500) as mask_types, masking_version, protection_policy, substring(original_text, 1, 1500) as original_text, substring(masked_text, 1, 1500) as masked_text from {MASKED}
+ order by source_row_id, disease nulls first, masked_token_count, mask_types nulls first, masking_version nulls first, protection_policy nulls first, original_text nulls first, masked_text nulls first limit 5""",
     "metadata_parsed": f"""select source_row_id, coalesce(case when json_valid(mask_metadata) and json_type(mask_metadata) = 'ARRAY' then len(list_filter(json_extract(mask_metadata, '$[*]'), lambda x: json_type(x) = 'OBJECT')) end, 0)::INTEGER as masks from {MASKED}""",
     "leak_check": f"""{corpus.MASKS_SQL}, h as (select m.source_row_id, m.mask_pos::INTEGER as mask_pos, v.value as original_value, list_sort(list_distinct(list_filter(regexp_extract_all(lower(v.value), '[a-z]+'), lambda x: x in {S.values(L.PROTECTED_PATHOGENS)}))) as p
  from masks m join n v on v.r = m.r and v.parent = m.id and v.key = 'original_value' and v.value is not null) select source_row_id, mask_pos, original_value, array_to_string(p, ',') as pathogens from h where len(p) > 0""",

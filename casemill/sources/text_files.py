@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+from collections.abc import Sequence
 from datetime import datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,26 +16,33 @@ from casemill.functions import lexicons as L
 
 #: Encodings in the order in which they are tried, and the names Spark knows them by.
 ENCODINGS = (("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("cp932", "MS932"), ("shift_jis", "Shift_JIS"))
+#: The order for filled tables, which are written with a byte order mark.
+ENCODINGS_FILLED = (ENCODINGS[1], ENCODINGS[0], *ENCODINGS[2:])
 BOM = "﻿"
+PIECE = 1 << 20
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
+def detect_encoding(spark: SparkSession, path: str, order: Sequence[tuple[str, str]] = ENCODINGS) -> str:
     """The first encoding that every file under ``path`` decodes in; ValueError if there is none.
 
     Files are read as bytes by the executors, which only send back which encodings failed.
     """
-    names = [e for e, _ in ENCODINGS]
-
-    @F.udf(T.ArrayType(T.BooleanType()))
-    def fits(content: bytes) -> list[bool]:
-        def ok(encoding: str) -> bool:
-            try:
-                bytes(content).decode(encoding)
-            except UnicodeDecodeError:
-                return False
-            return True
-
-        return [ok(n) for n in names]
+    names = [e for e, _ in order]
+
+    def ok(content: bytes, encoding: str) -> bool:
+        # Piece by piece, so that no second copy of a file is made.
+        decoder = codecs.getincrementaldecoder(encoding)()
+        try:
+            for at in range(0, len(content), PIECE):
+                decoder.decode(content[at : at + PIECE])
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def fits(contents: pd.Series) -> pd.Series:
+        return pd.Series([[ok(c, n) for n in names] for c in contents], dtype=object)
 
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select(fits("content").alias("ok"))
     row = files.agg(*[F.coalesce(F.bool_and(F.col("ok")[i]), F.lit(True)).alias(n) for i, n in enumerate(names)]).first()
@@ -62,20 +72,35 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_single_csv(df: DataFrame, folder: str, stem: str, bom: bool = False, now: datetime | None = None) -> str:
-    """One time-stamped file ``<stem>_<YYYYmmdd_HHMMSS>.csv`` in a local folder, for hand-overs of bounded size."""
-    target = Path(folder) / f"{stem}_{(now or datetime.now()):%Y%m%d_%H%M%S}.csv"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    parts = target.with_suffix(".parts")
-    write_csv(df.coalesce(1), parts.as_uri())
-    with target.open("wb") as out:
-        out.write(BOM.encode() if bom else b"")
-        for part in sorted(parts.glob("part-*.csv")):
-            out.write(part.read_bytes())
-    for f in parts.iterdir():
-        f.unlink()
-    parts.rmdir()
-    return str(target)
+def write_single_csv(df: DataFrame, folder: str, stem: str, bom: bool = False, now: datetime | None = None, stamped: bool = True) -> str:
+    """One file ``<stem>_<YYYYmmdd_HHMMSS>.csv`` (or ``<stem>.csv``) in any folder the cluster's file systems know, for hand-overs of bounded size.
+
+    Executors write the parts into a folder beside the target and the driver joins them through the same
+    file system, byte by byte; a folder without a scheme is a local one in local mode and the default file
+    system's on a cluster.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = f"{stem}_{(now or datetime.now()):%Y%m%d_%H%M%S}" if stamped else stem
+    if "://" not in folder and not folder.startswith("file:") and spark.sparkContext.master.startswith("local"):
+        folder = Path(folder).absolute().as_uri()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    target, parts = hadoop(f"{folder}/{name}.csv"), hadoop(f"{folder}/.{name}.parts")
+    system = target.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    write_csv(df.coalesce(1), parts.toString())
+    out = system.create(target, True)
+    try:
+        if bom:
+            out.write(bytearray(BOM.encode()))
+        for status in sorted(system.globStatus(hadoop(f"{folder}/.{name}.parts/part-*.csv")), key=lambda s: s.getPath().getName()):
+            source = system.open(status.getPath())
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+    finally:
+        out.close()
+    system.delete(parts, True)
+    return target.toString().removeprefix("file:") if target.toString().startswith("file:") else target.toString()
 
 
 def write_report(df: DataFrame, folder: str, stem: str, version: int = 3, now: datetime | None = None) -> str:
@@ -121,8 +146,15 @@ def numbered(df: DataFrame, column: str = "source_row_id") -> DataFrame:
     """Rows numbered from 0 in file order. ValueError if the column is there already."""
     if column in df.columns or "index" in df.columns:
         raise ValueError(f"the input may not have a column {column} or index")
-    schema = T.StructType([T.StructField(column, T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), schema)
+    # Rows are numbered within partitions; one count per partition says where each partition begins.
+    place = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sorted((r["_part"], r["n"]) for r in place.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    begins, at = [], 0
+    for part, n in sizes:
+        begins.append((part, at))
+        at += n
+    table = df.sparkSession.createDataFrame(begins, "_part int, _begin long")
+    return place.join(F.broadcast(table), "_part").select((F.col("_begin") + F.col("_at")).alias(column), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def with_metadata(df: DataFrame) -> DataFrame:
@@ -133,6 +165,11 @@ def with_metadata(df: DataFrame) -> DataFrame:
     return df.withColumns({"masked_text": F.coalesce(F.col("masked_text").cast("string"), F.lit("")), "mask_metadata": raw})
 
 
+def latest_or_given(spark: SparkSession, given: str | None, folder: str, pattern: str = "*.csv") -> str:
+    """The given file if there is one, else the newest of the folder."""
+    return given or latest_file(spark, folder, pattern)
+
+
 def latest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str:
     """The newest file that fits ``pattern``; FileNotFoundError if there is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
@@ -142,7 +179,8 @@ def latest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str
     return row["p"]
 
 
-def new_files(spark: SparkSession, folder: str, known: list[str], pattern: str = "*.csv") -> list[str]:
-    """Files that fit ``pattern`` and are not among ``known``, sorted by name."""
+def new_files(spark: SparkSession, folder: str, known: list[str], pattern: str = "*.csv", fall_back: bool = False) -> list[str]:
+    """Files that fit ``pattern`` and are not among ``known``, sorted by name; with ``fall_back`` the newest of all where there is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    return sorted(r["path"] for r in files.collect() if r["path"] not in set(known))
+    found = sorted(r["path"] for r in files.collect() if r["path"] not in set(known))
+    return found or ([latest_file(spark, folder, pattern)] if fall_back else [])

@@ -179,3 +179,43 @@ def test_bad_configs():
             filling.FillingConfig(**bad)
     with pytest.raises(ValueError):
         MaskingConfig(mask_ratio=1.5)
+
+
+def test_fill_contract(spark):
+    from casemill.operators.candidates import CANDIDATES
+
+    masks = [{"mask_index": 1, "mask_type": "LOW_RISK_WORDING", "original_value": "also", "pos": "ADV", "lemma": "also"}, {"mask_index": 2, "mask_type": "DATE", "original_value": "2020-01-01"}, {"mask_index": 3, "mask_type": "ODD", "original_value": "o"}, {"mask_index": 4, "original_value": "also", "protected": True}]
+    df = spark.createDataFrame([(1, "[MASK] [MASK] [MASK] [MASK]", json.dumps(masks), None), (2, "[MASK]", "[]", "model failed")], "source_row_id long, masked_text string, mask_metadata string, e string")
+    ranked = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(x).alias("score")) for w, x in (("fever", 0.9), ("usually", 0.5))]).cast(CANDIDATES)
+    row, failed = filling.fill(df, ranked, error=F.col("e")).orderBy("source_row_id").collect()
+    a, b, c, d = json.loads(row["mask_fill_details"])
+    assert (a["method"], a["replacement"], a["classification"]["pos"], a["classification"]["protected"]) == ("bio_clinicalbert_filtered", "usually", "ADV", False)
+    assert a["candidates"][0]["rejection_reasons"] == ["candidate_is_medical_or_semantically_sensitive", "pos_mismatch_expected_adverb"] and a["candidates"][1]["accepted"]
+    assert b["method"] == "constraint_shift_absolute_date" and "classification" not in b and (c["method"], c["replacement"]) == ("bio_clinicalbert_low_risk_wording", "fever")
+    assert (d["mask_type"], d["method"], d["replacement"], d["validation_issues"]) == ("LOW_RISK_WORDING", "fallback_restore_original", "also", ["no_candidate_satisfied_constraints"])
+    assert "source_mask_is_protected" in d["candidates"][1]["rejection_reasons"] and row["fill_status"] == "filled_with_fallback" and row["fill_error"] == ""
+    assert (failed["fill_status"], failed["filled_text"], failed["predicted_tokens"], failed["mask_fill_details"], failed["fill_error"]) == ("error", "[MASK]", "", "[]", "model failed")
+    third = filling.fill(df, ranked, config=filling.FillingConfig(version=3), error=F.col("e")).orderBy("source_row_id").first()
+    assert json.loads(third["mask_fill_details"])[0]["method"] == "bio_clinicalbert_low_risk_wording" and json.loads(third["constraint_policy"])["AGE_DELTA_BY_CATEGORY"]["adult"] > 0
+
+
+def test_a_literal_mask_in_the_source_shifts_the_fills(spark):
+    row = filled(spark, [("[MASK] and [MASK]", '[{"mask_index":1,"mask_type":"SEX","original_value":"he"}]')])[0]
+    assert row["filled_text"] == "he and [MASK]" and json.loads(row["validation_issues"])[0] == "mask_metadata_count_mismatch:2!=1"
+
+
+def test_spans_in_texts_of_every_kind(spark):
+    texts = ["A 45-year-old and a 7 yo", "é 45-year-old — ÀGE 7 yo", "\ufdd0 45-year-old \ufdd1 7 yo", "", None, "none", "45-year-old"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["s"] for r in df.select("i", spans.regex_spans(F.col("t"), L.AGE_PATTERN, "AGE", "regex").alias("s")).orderBy("i").collect()]
+    assert [[(s["start_char"], s["original_value"]) for s in r] if r is not None else None for r in got] == [[(m.start(), m[0]) for m in re.finditer(L.AGE_PATTERN, t, re.I)] if t is not None else None for t in texts]
+
+
+def test_token_spans_and_labels(spark):
+    df = spark.createDataFrame([("He saw Anna-Maria, 45.",)], "t string")
+    t = F.col("t")
+    span = lambda a, b: F.struct(F.lit(a).alias("start_char"), F.lit(b).alias("end_char"))
+    tokens = spans.regex_spans(t, spans.TOKEN, "TOKEN", "token")
+    entities = F.concat(spans.regex_spans(t, "Maria", "NAME", "rule:PERSON"), spans.regex_spans(t, "Anna", "LOCATION", "rule:GPE"))
+    got = df.select(spans.token_span(tokens, span(9, 14)).alias("a"), spans.token_span(tokens, span(6, 7)).alias("b"), spans.token_span(tokens, span(15, 18)).alias("c"), spans.labels_over(span(7, 17), entities).alias("l"), spans.labels_over(span(0, 2), entities).alias("n")).first()
+    assert tuple(got["a"]) == (7, 17) and got["b"] is None and tuple(got["c"]) == (7, 18) and got["l"] == "GPE,PERSON" and got["n"] == ""

@@ -157,3 +157,49 @@ def test_entry_and_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_predictions_fail_row_by_row(spark):
+    def predict(texts):
+        if any("boom" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [[(" y ", 0.1), ("x", 0.9)] for _ in texts]
+
+    rows = [(0, "a [MASK] b"), (1, "boom [MASK]"), (2, "none"), (3, "[MASK] [MASK]"), (4, None), (5, "w " * 900 + "[MASK]" + " v" * 900)]
+    df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    got = [r["m"] for r in df.select("k", candidates.model_predictions(F.col("t"), predict, 2).alias("m")).orderBy("k").collect()]
+    assert [[c["token"] for c in m["candidates"]] if m["candidates"] is not None else None for m in got] == [["x", "y"], None, None, None, [], ["x", "y"]]
+    assert [m["error"] for m in got] == [None, "no answer", "expected exactly one mask, found 0", "expected exactly one mask, found 2", None, None]
+    assert df.filter("k = 5").select(candidates.model_predictions(F.col("t"), lambda ts: [[("n", float(len(t.split())))] for t in ts]).alias("m")).first()["m"]["candidates"][0]["score"] == 512
+
+
+def test_presets_change_defaults_only(monkeypatch):
+    given = cli.parsed(["fill", "--input-csv", "x", "--preset", "batch", "--top-k", "3"])
+    assert (given.top_k, given.augmentation_factor, given.change_sex) == (3, 5, True) and cli.parsed(["fill", "--input-csv", "x"]).top_k == 8
+    monkeypatch.setenv("MASK_FILLING_INPUT_CSV", "from-env")
+    monkeypatch.setenv("MASK_FILLING_DEVICE", "cpu")
+    assert (cli.parsed(["fill"]).input_csv, cli.parsed(["fill"]).device) == ("from-env", "cpu")
+    assert cli.resolved_device("auto", 0) == "cpu" and cli.resolved_device("auto", 1) == "cuda" and cli.resolved_device("cpu", 1) == "cpu"
+    with pytest.raises(RuntimeError):
+        cli.resolved_device("cuda", 0)
+    with pytest.raises(RuntimeError):
+        cli.loaded("casemill.none:x")
+
+
+def test_numbers_follow_the_order_of_the_rows(spark):
+    df = spark.range(1000).repartition(7).sortWithinPartitions("id")
+    rows = df.collect()
+    got = {r["source_row_id"]: r["id"] for r in files.numbered(df).collect()}
+    assert [got[i] for i in range(1000)] == [r["id"] for r in rows] and files.numbered(df.limit(0)).count() == 0
+
+
+def test_single_file_by_the_file_system(spark, tmp_path):
+    path = files.write_single_csv(spark.createDataFrame([("é,\n\"", 1)], "a string, b int"), tmp_path.as_uri(), "x", bom=True, stamped=False)
+    assert path == str(tmp_path / "x.csv") and (tmp_path / "x.csv").read_bytes().startswith(b"\xef\xbb\xbfa,b") and [f.name for f in tmp_path.iterdir() if f.name.endswith("parts")] == []
+    assert files.new_files(spark, str(tmp_path), [], "*.csv") and files.new_files(spark, str(tmp_path), files.new_files(spark, str(tmp_path), []), fall_back=True)
+    assert files.latest_or_given(spark, "g", str(tmp_path)) == "g" and files.latest_or_given(spark, None, str(tmp_path)).endswith("x.csv")
+
+
+def test_preview(spark):
+    df = spark.createDataFrame([(i, "t" * 2000) for i in range(9)], "source_row_id long, masked_text string")
+    assert [(r[0], len(r[1])) for r in analyze.preview(df).collect()] == [(i, 1500) for i in range(5)]
