@@ -26,6 +26,18 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(splits.tie_articles(variants), SHARES).select("source_row_id", "variant_id", "article", "split").distinct()
 
 
+def p1_split_check(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on the splits of p1_splits: rows, rows of the source, cases and articles that stand in several splits, and whether every total lies within one case's rows of its share."""
+    variants = table(spark, folder, FILLED).select("source_row_id", "variant_id", "PMCID", "PMID")
+    out = splits.assign_splits(splits.tie_articles(variants), SHARES)
+    totals = out.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in SHARES])
+    apart = lambda key: out.groupBy(key).agg((F.min("split") != F.max("split")).alias("apart")).agg(F.count_if("apart").alias(f"{key}_apart"))
+    near = [F.abs(F.col(s) - F.col("n") * share) <= 5 for s, share in SHARES.items()]
+    # Three tables of one row each.
+    one = totals.select("n", F.coalesce(near[0] & near[1] & near[2], F.lit(True)).alias("near"), F.lit(1).alias("k"))
+    return one.join(apart("source_row_id").withColumn("k", F.lit(1)), "k").join(apart("article").withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Titles and case texts of which at least a part was decoded wrongly."""
     return mojibake.find_garbled(table(spark, folder, CASES), "karte_id", ("Title", CASE_TEXT))
@@ -87,4 +99,4 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_restored, p4_found, p4_redacted, p6_ids, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_check, p2_found, p2_restored, p4_found, p4_redacted, p6_ids, p7_found, p7_leaks, p8_found, p8_scores, p8_rates)}

@@ -23,7 +23,7 @@ from casemill.session import cut
 
 #: A key that holds more than one in HOT of all rows is hot; there are fewer than HOT such keys, so they are broadcast.
 HOT = 256
-#: Sums are kept in this many units at most; beyond it large components are chosen in coarser units before the rest is chosen in rows.
+#: Sums are kept in this many units; a unit of large components is a row or more, the rest is chosen in rows.
 SUM_UNITS = 1 << 22
 _KIND = 1 << 60
 #: Full-width digits and what may stand between digits of a number, as fixed values.
@@ -156,8 +156,9 @@ def choose_counts(sizes: Mapping[int, int], shares: Sequence[float], units: int
 
     ``sizes`` maps a component size to its multiplicity. For the later splits, in order, a bitset over
     sums (multiplicities split into binary bundles) finds the reachable total closest to the split's
-    share of all rows. With more than ``units`` rows large components are first chosen in units of
-    several rows, and the remainder is then closed in true rows.
+    share of all rows. Large components are chosen in units of total / ``units`` rows (of one row where
+    there are fewer rows than units), the remainder is then closed by exact sums of rows; so the work is
+    bounded and the totals lie within the smallest component of the best ones at every number of rows.
     """
     left = dict(sizes)
     total = sum(s * m for s, m in sizes.items())
@@ -170,23 +171,22 @@ def choose_counts(sizes: Mapping[int, int], shares: Sequence[float], units: int
 
     for k in range(1, len(shares)):
         goal = round(shares[k] / sum(shares) * total)
-        if scale > 1:
-            # Coarse: components of at least a unit, leaving what smaller ones can fill.
-            large = {s: m for s, m in left.items() if s >= scale}
-            small = sum(s * m for s, m in left.items() if s < scale)
-            for size, n in _closest(large, round(goal / scale), scale, small // scale).items():
+        # Coarse: components of at least a unit, leaving what smaller ones can fill.
+        large = {s: m for s, m in left.items() if s >= scale}
+        small = sum(s * m for s, m in left.items() if s < scale)
+        for size, n in _closest(large, round(goal / scale), scale, small // scale).items():
+            move(k, size, n)
+        # Fill by true sizes, then give back small ones to leave a gap that exact sums close best.
+        goal -= sum(s * n for s, n in out[k].items())
+        for size in sorted(left, reverse=True):
+            if n := min(left[size], max(0, goal) // size):
                 move(k, size, n)
-            # Fill by true sizes, then give back some small ones to leave a gap that exact sums can close.
-            goal -= sum(s * n for s, n in out[k].items())
-            for size in sorted(left, reverse=True):
-                if n := min(left[size], max(0, goal) // size):
-                    move(k, size, n)
-                    goal -= size * n
-            gap = max(1, units // 4)
-            for size in sorted(s for s in out[k] if s <= gap):
-                if n := min(out[k][size], max(0, -(-(gap - goal) // size))):
-                    move(k, size, -n)
-                    goal += size * n
+                goal -= size * n
+        gap = max(1, units // 4)
+        for size in sorted(s for s in out[k] if s <= gap):
+            if n := min(out[k][size], max(0, -(-(gap - goal) // size))):
+                move(k, size, -n)
+                goal += size * n
         for size, n in _closest(left, max(0, goal)).items():
             move(k, size, n)
         out[k] = {s: n for s, n in out[k].items() if n}

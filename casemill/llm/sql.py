@@ -16,4 +16,7 @@ named as (select s, min(article) as article from k join best on k.key = best.roo
 select distinct v.source_row_id, v.variant_id, 'PMC' || substring(named.article, 2) as article from v left join named on v.source_row_id = named.s
 """.strip()
 
-ORACLE_SQL: dict[str, str] = {"p1_found": P1_FOUND}
+#: What must hold of any right splits.
+P1_SPLIT_CHECK = "select count(*) as n, true as near, 0::BIGINT as source_row_id_apart, 0::BIGINT as article_apart from clinical_case_mask_filling4"
+
+ORACLE_SQL: dict[str, str] = {"p1_found": P1_FOUND, "p1_split_check": P1_SPLIT_CHECK}

@@ -94,6 +94,18 @@ def test_large_inputs_meet_the_shares(sizes):
     assert abs(got - 0.1 * total) <= min(sizes) or got == 10_000_000
 
 
+@pytest.mark.parametrize("sizes", [{1: 4_194_304}, {1: 4_194_305}, {1: 40_000_000}, {2: 200_000_000, 3: 200_000_000}, {10: 1_000_000}, {1: 2 * 10**10, 5: 10**10, 40: 75 * 10**7}, {10**10: 3, 17: 10**9}, {1: 1_000_000, 700_000_000: 1}])
+def test_shares_hold_at_every_number_of_rows(sizes):
+    total = sum(s * n for s, n in sizes.items())
+    counts = choose_counts(sizes, [0.8, 0.1, 0.1])
+    assert Counter({s: sum(c.get(s, 0) for c in counts) for s in sizes}) == Counter(sizes) and all(n >= 0 for c in counts for n in c.values())
+    got = [sum(s * n for s, n in c.items()) for c in counts]
+    if max(sizes) <= 0.8 * total:
+        assert all(abs(g - round(0.1 * total)) <= min(sizes) for g in got[1:])
+    else:  # one component alone is larger than the share of the first split: all that is left goes to the others
+        assert got[1] + got[2] == total - max(sizes)
+
+
 def test_tied_rows_share_a_split(spark):
     rng = random.Random(5)
     rows = [(rng.randint(1, 400), v, f"PMC{40000000 + rng.randint(1, 300)}", None, "x") for v in range(2000)] + [(None, 1, None, None, "x")]
