@@ -38,7 +38,13 @@ CHAINS = {
 TWICE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")
 #: How much more common an original must be than a form that could be a word of its own.
 RATIO, RATIO_SHORT = 3, 20
-LONGEST = 24
+#: The longest form of one character: four bytes in UTF-8, each of them up to three bytes twice more. Longer forms than that are looked up as
+#: words and whole tokens; a garbled run that is part of a longer token is told by the forms of its characters.
+LONGEST = 4 * 3 * 3
+#: Units longer than this are not garbled as a whole: their words, runs and characters are, which cover them.
+UNIT, LOOKUP = 64, 64 * LONGEST
+#: What replaces garbled tokens is broadcast up to this many characters, and joined by a shuffle beyond.
+BROADCAST_CHARS = 20_000_000
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"(?:[^\W\d_]|[^\x00-\x7f])+(?:['’\-–](?:[^\W\d_]|[^\x00-\x7f])+)*")
 _CJK = re.compile("[぀-ヿ一-鿿]")
@@ -133,7 +139,7 @@ def clean_units(token: str) -> set[str]:
         units |= {m[0], *m[0]}
         if m.end() < len(token):
             units |= {token[m.start() : m.end() + 1], m[0][-1] + token[m.end()]}
-    return {u for u in units if len(u) <= 64 and not u.isascii() and is_clean(u)}
+    return {u for u in units if len(u) <= UNIT and not u.isascii() and is_clean(u)}
 
 
 def lookup_units(token: str) -> set[str]:
@@ -147,7 +153,7 @@ def lookup_units(token: str) -> set[str]:
         for start in range(a + 1, b):
             for end in range(start + 2, min(b, start + 6) + 1):
                 units.add(token[start:end])
-    return {u for u in units if len(u) <= 200 and not u.isascii()}
+    return {u for u in units if len(u) <= LOOKUP and not u.isascii()}
 
 
 def _strength(form: str, orig: str, token: str, ratio: float, chain: str) -> int:
@@ -251,9 +257,11 @@ def garbled_tokens(values: DataFrame) -> DataFrame:
     # The most common original of a form, by rows and by distinct texts.
     forms = garbled.groupBy("form").agg(F.array_distinct(F.array(F.max_by("o", F.struct("n_orig", "length", "orig", "chain")), F.max_by("o", F.struct("d_orig", "length", "orig", "chain")))).alias("os"))
     parts = vocabulary.select("token", "n", "d", F.explode(_lookup_units("token")).alias("form"))
-    matched = cut(parts.join(forms, "form"))
+    # A short form may stand in a third of all tokens; such forms are joined by broadcast.
+    parts = cut(parts)
+    matched = cut(hot_join(parts, forms, "form", parts.count()).filter(F.col("os").isNotNull()))
     n_form = matched.groupBy("form").agg(F.sum("n").alias("n_form"), F.sum("d").alias("d_form"))
-    full = matched.join(n_form, "form").withColumn("o", F.explode("os"))
+    full = hot_join(matched, n_form, "form", matched.count()).withColumn("o", F.explode("os"))
     per_token = full.groupBy("token").agg(F.collect_list(F.struct("form", "o.orig", "o.n_orig", "o.d_orig", "o.chain", "n_form", "d_form")).alias("found"))
     judged = per_token.withColumn("j", _judge("token", "found")).select("token", "j.strength", "j.chain", "j.restored")
     return cut(judged.filter("strength > 0"))
@@ -265,13 +273,16 @@ def find_garbled(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     Null, empty and pure ASCII values are never found. Repeated rows give one result row. A weak sign
     counts only beside a second one of the same chain in the same value. Other columns are not read.
     """
-    values = _values(df, key, fields)
-    hits = _hits(values)
-    per_value = hits.groupBy("k", "field", "text_id").agg(F.max("strength").alias("top"), F.count(F.lit(1)).alias("signs"), F.countDistinct("chain").alias("chains"))
-    found = per_value.filter((F.col("top") >= 2) | ((F.col("signs") >= 2) & (F.col("chains") < F.col("signs"))))
+    found = _garbled_values(_hits(_values(df, key, fields)))
     return found.select("k", "field").distinct().withColumnRenamed("k", key)
 
 
+def _garbled_values(hits: DataFrame) -> DataFrame:
+    """(k, field, text_id, subs) of the values that are garbled: a strong sign, or two weak ones of the same chain; with what replaces their tokens."""
+    per_value = hits.groupBy("k", "field", "text_id").agg(F.max("strength").alias("top"), F.count(F.lit(1)).alias("signs"), F.countDistinct("chain").alias("chains"), F.collect_set(F.struct("token", "restored")).alias("subs"))
+    return per_value.filter((F.col("top") >= 2) | ((F.col("signs") >= 2) & (F.col("chains") < F.col("signs")))).select("k", "field", "text_id", "subs")
+
+
 def _hits(values: DataFrame) -> DataFrame:
     """(k, field, text_id, token, strength, chain, restored): the garbled tokens of each value, matched by hash join."""
     garbled = garbled_tokens(values)
@@ -285,8 +296,11 @@ def restore_garbled(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
 
     ``restored`` puts the verified originals in place of garbled tokens; blanks are kept.
     """
-    values = _values(df, key, fields).dropDuplicates()
-    hits = _hits(values).groupBy("k", "field", "text_id").agg(F.collect_set(F.struct("token", "restored")).alias("subs"), F.max("strength").alias("top"), F.count(F.lit(1)).alias("signs"))
+    values = _values(df, key, fields)
+    garbled = cut(_garbled_values(_hits(values)))
+    # Texts stay where they are while what replaces their tokens is small; only garbled ones are made distinct.
+    chars = garbled.agg(F.coalesce(F.sum(F.aggregate("subs", F.lit(64), lambda n, s: n + F.length(s["token"]) + F.length(s["restored"]))), F.lit(0))).first()[0]
+    side = F.broadcast(garbled) if chars <= BROADCAST_CHARS else garbled
 
     @F.pandas_udf("string")
     def put_back(texts: pd.Series, subs: pd.Series) -> pd.Series:
@@ -296,5 +310,7 @@ def restore_garbled(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
             out.append("".join(known.get(t, t) for t in re.split("([ \t\n\r]+)", text)))
         return pd.Series(out)
 
-    joined = values.withColumn("text_id", F.xxhash64("text")).join(hits.filter("top >= 2 or signs >= 2"), ["k", "field", "text_id"])
+    side = side.select(F.col("k").alias("_k"), F.col("field").alias("_field"), F.col("text_id").alias("_id"), "subs")
+    same = F.col("k").eqNullSafe(F.col("_k")) & (F.col("field") == F.col("_field")) & (F.xxhash64("text") == F.col("_id"))
+    joined = values.join(side, same).select("k", "field", "text", "subs").dropDuplicates(["k", "field", "text"])
     return joined.select(F.col("k").alias(key), "field", "text", put_back("text", "subs").alias("restored"))
