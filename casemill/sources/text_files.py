@@ -19,39 +19,64 @@ ENCODINGS = (("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("cp932", "MS932"), ("s
 #: The order for filled tables, which are written with a byte order mark.
 ENCODINGS_FILLED = (ENCODINGS[1], ENCODINGS[0], *ENCODINGS[2:])
 BOM = "﻿"
-PIECE = 1 << 20
 
 
 def detect_encoding(spark: SparkSession, path: str, order: Sequence[tuple[str, str]] = ENCODINGS) -> str:
     """The first encoding that every file under ``path`` decodes in; ValueError if there is none.
 
-    Files are read as bytes by the executors, which only send back which encodings failed.
+    Files are read by the executors line by line, in splits, so none is ever held as a whole; only which encodings
+    failed comes back. A line feed is never a part of another character in any of ``ENCODINGS``.
     """
     names = [e for e, _ in order]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+    utf = [n for n in names if n.startswith("utf-8")]
+    others = [n for n in names if n not in utf]
+    if utf and lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("line")), F.lit(True))).first()[0]:
+        fit = set(utf)
+        if names[0] in fit:
+            return names[0]
+    else:
+        fit = set()
 
     def ok(content: bytes, encoding: str) -> bool:
-        # Piece by piece, so that no second copy of a file is made.
-        decoder = codecs.getincrementaldecoder(encoding)()
         try:
-            for at in range(0, len(content), PIECE):
-                decoder.decode(content[at : at + PIECE])
-            decoder.decode(b"", final=True)
+            codecs.decode(content, encoding)
         except UnicodeDecodeError:
             return False
         return True
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def fits(contents: pd.Series) -> pd.Series:
-        return pd.Series([[ok(c, n) for n in names] for c in contents], dtype=object)
-
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select(fits("content").alias("ok"))
-    row = files.agg(*[F.coalesce(F.bool_and(F.col("ok")[i]), F.lit(True)).alias(n) for i, n in enumerate(names)]).first()
+        return pd.Series([[ok(c, n) for n in others] for c in contents], dtype=object)
+
+    if others:
+        # Lines of ASCII alone decode in all of them. Lines come without the mark a file begins with, so it is asked for by itself.
+        odd = lines.filter(F.col("line").rlike(r"[^\x00-\x7F]"))
+        row = odd.select(fits(F.col("line").cast("binary")).alias("ok")).agg(*[F.coalesce(F.bool_and(F.col("ok")[i]), F.lit(True)).alias(n) for i, n in enumerate(others)]).first()
+        kept = [n for n in others if row[n]]
+        if any(not ok(BOM.encode(), n) for n in kept) and _marked(spark, lines.inputFiles()):
+            kept = [n for n in kept if ok(BOM.encode(), n)]
+        fit |= set(kept)
     for n in names:
-        if row[n]:
+        if n in fit:
             return n
     raise ValueError(f"{path} decodes in none of {names}")
 
 
+def _marked(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether a file begins with the byte order mark of UTF-8; three bytes of each are read."""
+    conf, mark = spark._jsc.hadoopConfiguration(), BOM.encode()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+        source = at.getFileSystem(conf).open(at)
+        try:
+            if all(source.read() == b for b in mark):
+                return True
+        finally:
+            source.close()
+    return False
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: str | None = None) -> DataFrame:
     """A table from delimited text with a header; quotes are doubled inside quotes, values may hold line breaks.
 
@@ -66,9 +91,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> str:
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> str:
     """Delimited text with a header in UTF-8; as many files as partitions."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df.write.mode("overwrite").option("header", True).option("compression", compression).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

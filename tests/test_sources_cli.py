@@ -29,6 +29,26 @@ def write(path, encoding="utf-8"):
     return str(path)
 
 
+def test_encoding_is_found_without_whole_files(spark, tmp_path):
+    """Lines suffice, however long the file: a split of it is never one value."""
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "64")
+    try:
+        for name, content, found in (
+            ("u", "発熱,a\n".encode() * 50, "utf-8"), ("s", "発熱,a\r\n".encode("cp932") * 50, "cp932"), ("late", b"a,b\n" * 50 + "発".encode("cp932"), "cp932"),
+            ("mark", files.BOM.encode() + "発熱".encode("cp932"), None), ("cut", b"a\n\x81\nb" * 20, None), ("last", b"a,b\n" * 30 + "é\u2028".encode("cp1252", "ignore"), None), ("surrogate", b"\xed\xa0\x80\n" * 30, "cp932"), ("empty", b"", "utf-8"),
+        ):
+            path = tmp_path / f"{name}.csv"
+            path.write_bytes(content)
+            if found:
+                assert files.detect_encoding(spark, str(path)) == found, name
+            else:
+                with pytest.raises(ValueError):
+                    files.detect_encoding(spark, str(path))
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
 @pytest.mark.parametrize("encoding, found", [("utf-8", "utf-8"), ("utf-8-sig", "utf-8"), ("cp932", "cp932")])
 def test_encodings(spark, tmp_path, encoding, found):
     path = write(tmp_path / "in.csv", encoding)
