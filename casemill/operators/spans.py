@@ -30,39 +30,37 @@ def regex_spans(text: Column, pattern: str, mask_type: str, source: str) -> Colu
     Texts of ASCII alone are scanned without Unicode classes, which finds the same and is faster. Texts
     that hold the marks themselves are scanned twice instead, for the matches and for what lies between.
     """
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
-    def added(acc: Column, before: Column, hit: Column) -> Column:
-        """``acc`` with a match after ``before`` characters."""
+    def placed(starts: Column, hits: Column) -> Column:
+        """The spans of ``hits``, of which each begins at its place of ``starts``."""
 
-        def placed(edges: Column) -> Column:
-            span = F.struct(edges["a"].alias("start_char"), edges["b"].alias("end_char"), hit.alias("original_value"), F.lit(mask_type).alias("mask_type"), F.lit(source).alias("source"))
-            return F.concat(acc["spans"], F.array(span))
+        def span(hit: Column, i: Column) -> Column:
+            a = F.get(starts, i)
+            return F.struct(a.alias("start_char"), (a + F.length(hit)).alias("end_char"), hit.alias("original_value"), F.lit(mask_type).alias("mask_type"), F.lit(source).alias("source"))
 
-        a = acc["at"] + before
-        return placed(F.struct(a.alias("a"), (a + F.length(hit)).alias("b")))
+        return F.transform(hits, span)
+
+    def begins(first: Column, steps: Column) -> Column:
+        """``first`` and the sums of it and what of ``steps`` comes before. Only numbers are carried along, as every step copies what it carries."""
+        return F.aggregate(steps, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
     def marked(java: str) -> Column:
         parts = F.split(F.regexp_replace(text, java, f"{_OPEN}$0{_SHUT}"), _OPEN, -1)
 
-        def step(acc: Column, part: Column) -> Column:
-            hit = F.substring_index(part, _SHUT, 1)
-            return F.struct((acc["at"] + F.length(part) - 1).cast("int").alias("at"), added(acc, F.lit(0), hit).alias("spans"))
-
         def read(found: Column) -> Column:
-            first = F.struct(F.length(F.get(found, F.lit(0))).alias("at"), no_spans().alias("spans"))
-            return F.when(F.size(found) > 1, F.aggregate(F.slice(found, 2, F.size(found)), first, step, lambda acc: acc["spans"])).when(text.isNotNull(), no_spans())
+            starts = begins(F.length(F.get(found, F.lit(0))), F.transform(F.slice(found, 2, F.size(found)), lambda part: F.length(part) - 1))
+            hits = F.transform(F.slice(found, 2, F.size(found)), lambda part: F.substring_index(part, _SHUT, 1))
+            return F.when(F.size(found) > 1, bind(starts, lambda at: placed(at, hits))).when(text.isNotNull(), no_spans())
 
         return bind(parts, read)
 
     def twice(java: str) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            ends = acc["at"] + pair["gap"] + F.coalesce(F.length(pair["hit"]), F.lit(0))
-            return F.struct(ends.alias("at"), F.when(pair["hit"].isNull(), acc["spans"]).otherwise(added(acc, pair["gap"], pair["hit"])).alias("spans"))
-
         def found(hits: Column) -> Column:
-            pairs = F.zip_with(F.split(text, java, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-            return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).when(hits.isNotNull(), no_spans())
+            def read(gaps: Column) -> Column:
+                steps = F.transform(hits, lambda hit, i: F.length(hit) + F.length(F.get(gaps, i + 1)))
+                return bind(begins(F.length(F.get(gaps, F.lit(0))), steps), lambda at: placed(at, hits))
+
+            return F.when(F.size(hits) > 0, bind(F.split(text, java, -1), read)).when(hits.isNotNull(), no_spans())
 
         return bind(F.regexp_extract_all(text, F.lit(java), F.lit(0)), found)
 
@@ -84,18 +82,23 @@ def resolve(candidates: Column) -> Column:
 
     A dropped span drops no other. The result is sorted by start.
     """
-    kept = F.aggregate(candidates, no_spans(), lambda acc, c: F.when((c["start_char"] < c["end_char"]) & ~overlaps_any(c, acc), F.concat(acc, F.array(c))).otherwise(acc))
-    return F.array_sort(kept)
+    def chosen(all_: Column) -> Column:
+        def clear(kept: Column, c: Column) -> Column:
+            return (c["start_char"] < c["end_char"]) & ~F.exists(kept, lambda j: overlaps(c, F.get(all_, j)))
 
+        # Places are carried along instead of spans, as every step copies what it carries.
+        none = F.array().cast("array<int>")
+        kept = F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), none, lambda acc, i: bind(F.get(all_, i), lambda c: F.when(clear(acc, c), F.concat(acc, F.array(i))).otherwise(acc)))
+        return F.when(F.size(all_) > 0, F.transform(kept, lambda j: F.get(all_, j))).when(all_.isNotNull(), no_spans())
 
-def splice(text: Column, spans: Column, token: str = L.MASK) -> Column:
-    """The text with each of the sorted, disjoint spans replaced by ``token``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.array_sort(bind(candidates, chosen))
 
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(s["end_char"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start_char"] - acc["at"]), F.lit(token)).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def splice(text: Column, spans: Column, token: str = L.MASK) -> Column:
+    """The text with each of the sorted, disjoint spans replaced by ``token``."""
+    ends = lambda i: F.when(i > 0, F.get(spans, i - 1)["end_char"]).otherwise(0)
+    pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, ends(i) + 1, s["start_char"] - ends(i)), F.lit(token)))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, ends(F.size(spans)) + 1, F.length(text)))
 
 
 def joined(spans: Column, field: str) -> Column:

@@ -219,3 +219,24 @@ def test_token_spans_and_labels(spark):
     entities = F.concat(spans.regex_spans(t, "Maria", "NAME", "rule:PERSON"), spans.regex_spans(t, "Anna", "LOCATION", "rule:GPE"))
     got = df.select(spans.token_span(tokens, span(9, 14)).alias("a"), spans.token_span(tokens, span(6, 7)).alias("b"), spans.token_span(tokens, span(15, 18)).alias("c"), spans.labels_over(span(7, 17), entities).alias("l"), spans.labels_over(span(0, 2), entities).alias("n")).first()
     assert tuple(got["a"]) == (7, 17) and got["b"] is None and tuple(got["c"]) == (7, 18) and got["l"] == "GPE,PERSON" and got["n"] == ""
+
+
+@pytest.mark.parametrize("name", ["token_spans", "entity_spans"])
+def test_spans_are_looked_for_once(spark, name):
+    """No filter repeats the search for spans, and no pattern is sought in two places of the plan."""
+    from casemill.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "regexp_replace" in line]
+    assert plan.count("NATION_") <= 4
+
+
+def test_many_matches_keep_their_places(spark):
+    """Places of many matches, at both ends, side by side, beyond the first plane and around the marks."""
+    texts = ["ab 😅 c-d, é!" * 40, "a", "", "b b", ". . ", "\ufdd0ab\ufdd1 c \ufdd0", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    for r in df.select("t", spans.regex_spans(F.col("t"), "[a-z]", "TOKEN", "token").alias("s")).collect():
+        if r["t"] is None:
+            assert r["s"] is None
+        else:
+            assert [(s["start_char"], s["end_char"], s["original_value"]) for s in r["s"]] == [(m.start(), m.end(), m[0]) for m in re.finditer("[a-z]", r["t"])]
